@@ -68,7 +68,7 @@ def _through_jobs(frontier: DataFrame, jobs: tuple[DataFrame, DataFrame], search
 
 
 def _node_edges(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("src_node"), F.col("dst").alias("dst_node")).distinct()
+    return edges.select(F.col("src").alias("src_node"), F.col("dst").alias("dst_node"))
 
 
 def downstream_reach(
@@ -107,7 +107,7 @@ def column_reach(
         F.col("src_col").alias("src_column_name"),
         F.col("dst").alias("dst_node"),
         F.col("dst_col").alias("dst_column_name"),
-    ).distinct()
+    )
     return _search(seeds, edges, search, ("node", "column_name"), max_hops)
 
 
