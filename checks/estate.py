@@ -58,9 +58,10 @@ def part_corpus(i: Inputs) -> DataFrame:
 
 
 def estate(i: Inputs) -> Estate:
+    """Derived edges and texts are written once, as a catalog would hold them."""
     return Estate(
-        changes=stage(i.changes, "changes"), edges=i.edges, column_edges=i.column_edges,
-        entities=stage(entities(i), "entities"), corpus=stage(asset_corpus(i), "corpus"), usage_log=i.usage_log,
+        changes=i.changes, edges=stage(i.edges, "edges"), column_edges=stage(i.column_edges, "column_edges"),
+        entities=entities(i), corpus=stage(asset_corpus(i), "corpus"), usage_log=i.usage_log,
     )
 
 
@@ -154,8 +155,8 @@ ASSESSMENT = {
         SELECT s.*, CASE WHEN compile_status <> 'NOT_IMPACTED' THEN 'HARD_BREAK'
                        WHEN select_star_exposure THEN 'SILENT_CORRUPTION' ELSE 'UNAFFECTED' END AS break_mode,
                concat_ws('; ', CASE WHEN compile_status = 'NOT_IMPACTED' THEN NULL
-                     WHEN file_path IS NULL THEN 'no model file known; in scope by column lineage alone'
-                     WHEN NOT is_readable THEN file_path || ': compiled text not readable; origin could not be confirmed'
+                     WHEN file_path IS NULL THEN 'no model file known, in scope by column lineage alone'
+                     WHEN NOT is_readable THEN file_path || ': compiled text not readable, origin not confirmed'
                      WHEN compile_status = 'ORIGIN_HARD_BREAK' THEN o.lines
                      ELSE file_path || ': reads public.' || root || ' only through an upstream model' END,
                    star_evidence) AS evidence

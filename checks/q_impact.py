@@ -415,7 +415,7 @@ def related_assets(i):
 
 @query("outcome_record", """
 SELECT change_id, CASE WHEN passed THEN 'SUCCEEDED' ELSE 'FAILED' END AS outcome,
-       CASE WHEN passed THEN 0 ELSE NULL END AS residue_lines FROM tried""", REPAIRS)
+       CAST(0 AS BIGINT) AS residue_lines FROM tried""", REPAIRS)
 def outcome_record(i):
     run = migrated(i)
     verdicts = run.verified.select("change_id", F.lit("PASS").alias("verdict"))

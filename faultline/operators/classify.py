@@ -78,7 +78,7 @@ def star_exposure(corpus: DataFrame) -> DataFrame:
     """Whether each model expands a star, with the source lines that show it.
 
     ``corpus`` is ``path, source_text, compiled_text``. A model without compiled
-    text is reported as not exposed, with a note that it could not be checked.
+    text is reported as not readable and not exposed, with a note on that.
     """
     aliases = _stars(text.without_comments(F.col("compiled_text")))
     rows = corpus.withColumn("_stars", aliases)
@@ -86,6 +86,7 @@ def star_exposure(corpus: DataFrame) -> DataFrame:
     note = F.array(F.concat("path", F.lit(": no readable compiled text, stars could not be checked")))
     return rows.select(
         "path",
+        F.col("compiled_text").isNotNull().alias("is_readable"),
         exposed.alias("select_star_exposure"),
         F.when(F.col("compiled_text").isNull(), note)
         .when(exposed, _star_evidence(F.col("source_text"), F.col("path"), F.col("_stars")))
@@ -117,8 +118,8 @@ def compile_evidence(
     """Why the row got its status, as an array of strings."""
     return (
         F.when(status == NOT_IMPACTED, F.array().cast("array<string>"))
-        .when(path.isNull(), F.array(F.lit("no model file known; in scope by column lineage alone")))
-        .when(~is_readable, F.array(F.concat(path, F.lit(": compiled text not readable; origin could not be confirmed"))))
+        .when(path.isNull(), F.array(F.lit("no model file known, in scope by column lineage alone")))
+        .when(~is_readable, F.array(F.concat(path, F.lit(": compiled text not readable, origin not confirmed"))))
         .when(status == ORIGIN, F.coalesce(origin_lines, F.array().cast("array<string>")))
         .otherwise(F.array(F.concat(path, F.lit(": reads "), table, F.lit(" only through an upstream model"))))
     )

@@ -1,10 +1,12 @@
 """Bounded reachability over lineage edges for any number of starting points.
 
 A search keeps rows of (search, node) and advances all searches one hop per job.
-Each frontier is written to the shared folder before the next hop, which bounds
-the lineage and gives Catalyst the frontier's real size: small frontiers are
-broadcast to the edges, larger ones meet the bucketed edges in a sort-merge
-join, where AQE splits the partitions of hub nodes.
+Each frontier is made distinct and written to the shared folder before the next
+hop, which bounds the lineage and gives Catalyst the frontier's real size: small
+frontiers are broadcast to the edges, larger ones meet them in a sort-merge join,
+where AQE splits the partitions of hub nodes. A node reached again at a later hop
+is kept until the end, where the fewest hops win: at most one row per hop, and no
+join against everything seen so far.
 """
 
 from __future__ import annotations
@@ -12,13 +14,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from faultline.session import stage
 
 DEFAULT_HOPS = 3
 DEFAULT_BUDGET = 30
+# Stands for "the table as a whole" where a search also follows single columns.
+WHOLE_TABLE = "*"
+
+
+def cluster_edges(edges: DataFrame) -> DataFrame:
+    """Edges written once, bucketed by source, so that no hop has to shuffle them."""
+    return stage(edges, "edges", ("src",))
 
 
 def _search(
@@ -34,20 +43,23 @@ def _search(
     ``edges`` has a ``src_`` and a ``dst_`` column per position column.
     """
     state = [*search, *position]
-    edges = stage(edges, "edges", tuple(f"src_{p}" for p in position))
-    start = stage(seeds.select(*state).distinct(), "frontier")
-    layers, frontier = [start.withColumn("hop", F.lit(0))], start
+    seeds = seeds.select(*state)
+    layers, frontier = [], seeds
     for hop in range(1, max_hops + 1):
         moved = _advance(frontier, edges, search, position)
         if jobs is not None:
             moved = moved.unionByName(_through_jobs(frontier, jobs, search))
-        seen = reduce(DataFrame.unionByName, layers).select(*state)
-        fresh = moved.distinct().join(seen, state, "left_anti")
-        frontier = stage(fresh, "frontier")
-        if frontier.isEmpty():
-            break
+        frontier = moved.distinct()
+        if hop < max_hops:
+            size = Observation()
+            frontier = stage(frontier.observe(size, F.count(F.lit(1)).alias("rows")), "frontier")
+            if size.get["rows"] == 0:
+                break
         layers.append(frontier.withColumn("hop", F.lit(hop)))
-    return reduce(DataFrame.unionByName, layers).filter(F.col("hop") > 0)
+    if not layers:
+        return seeds.withColumn("hop", F.lit(0)).limit(0)
+    reached = reduce(DataFrame.unionByName, layers).groupBy(*state).agg(F.min("hop").alias("hop"))
+    return reached.join(seeds, state, "left_anti")
 
 
 def _advance(frontier: DataFrame, edges: DataFrame, search: Sequence[str], position: Sequence[str]) -> DataFrame:
@@ -111,6 +123,39 @@ def column_reach(
     return _search(seeds, edges, search, ("node", "column_name"), max_hops)
 
 
+def impact_reach(
+    changes: DataFrame, edges: DataFrame, column_edges: DataFrame, max_hops: int = DEFAULT_HOPS
+) -> DataFrame:
+    """Both searches of an assessment at once: everything downstream, and which of it
+    carries the changed column.
+
+    One search over (node, column), where a star stands for the table as a whole,
+    needs half the jobs of two searches.
+    """
+    lineage = lineage_edges(edges, column_edges)
+    whole = changes.select("change_id", "node", F.lit(WHOLE_TABLE).alias("column_name"))
+    seeds = whole.unionByName(changes.select("change_id", "node", "column_name"))
+    hits = _search(seeds, lineage, ("change_id",), ("node", "column_name"), max_hops)
+    reached = hits.groupBy("change_id", "node").agg(
+        F.min("hop").alias("hop"), F.max(F.col("column_name") != WHOLE_TABLE).alias("in_column_scope")
+    )
+    return exclude_root(reached, changes)
+
+
+def lineage_edges(edges: DataFrame, column_edges: DataFrame) -> DataFrame:
+    """Table and column edges as one table over (node, column)."""
+    star = F.lit(WHOLE_TABLE)
+    whole = edges.select(
+        F.col("src").alias("src_node"), star.alias("src_column_name"),
+        F.col("dst").alias("dst_node"), star.alias("dst_column_name"),
+    )
+    single = column_edges.select(
+        F.col("src").alias("src_node"), F.col("src_col").alias("src_column_name"),
+        F.col("dst").alias("dst_node"), F.col("dst_col").alias("dst_column_name"),
+    )
+    return whole.unionByName(single)
+
+
 def job_edges(inlets: DataFrame, outlets: DataFrame) -> DataFrame:
     """The dataset edges a job stands for: each inlet to each outlet of the same job."""
     i = inlets.distinct().select("job_id", F.col("node").alias("src"))

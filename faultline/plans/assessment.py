@@ -36,12 +36,11 @@ class Estate:
 
 @dataclass(frozen=True)
 class Reach:
-    """Searches of one assessment, each on (change_id, node)."""
+    """What one assessment found: nodes per change, dashboards per change, exposed pairs."""
 
-    broad: DataFrame
-    columns: DataFrame
-    exposed: DataFrame
+    nodes: DataFrame
     dashboards: DataFrame
+    exposed: DataFrame
 
 
 def asset_types(entities: DataFrame) -> DataFrame:
@@ -49,32 +48,26 @@ def asset_types(entities: DataFrame) -> DataFrame:
 
 
 def reach(estate: Estate, max_hops: int = graph.DEFAULT_HOPS) -> Reach:
-    """Both downstream searches, and which reached nodes feed a reached dashboard."""
-    broad = graph.downstream_reach(estate.changes, estate.edges, max_hops)
-    columns = graph.column_reach(estate.changes, estate.column_edges, max_hops)
-    columns = graph.exclude_root(columns, estate.changes).groupBy("change_id", "node").agg(F.min("hop").alias("hop"))
-    boards = stage(graph.dashboards_reached(broad, asset_types(estate.entities)), "dashboards")
+    """The downstream search, and which reached nodes feed a reached dashboard."""
+    nodes = stage(graph.impact_reach(estate.changes, estate.edges, estate.column_edges, max_hops), "reach")
+    boards = graph.dashboards_reached(nodes, asset_types(estate.entities))
     seeds = boards.select("dashboard", F.col("dashboard").alias("node")).distinct()
     upstream = graph.upstream_reach(seeds, estate.edges, max_hops)
-    exposed = graph.dashboard_exposure(broad, boards, upstream)
-    return Reach(broad, columns, exposed, boards)
+    return Reach(nodes, boards, graph.dashboard_exposure(nodes, boards, upstream))
 
 
 def scanned(found: Reach) -> DataFrame:
-    """(change_id, node) with the fewest hops of both searches and the two flags.
+    """(change_id, node) with hop, column scope and dashboard exposure.
 
-    One union and one partial aggregation instead of two more joins on the pairs.
+    Exposure is added by a union and one partial aggregation on the pairs.
     """
     no = F.lit(False)
-    parts = (
-        found.broad.select("change_id", "node", "hop", no.alias("in_column_scope"), no.alias("is_dashboard_exposed"))
-        .unionByName(found.columns.select(
-            "change_id", "node", "hop", F.lit(True).alias("in_column_scope"), no.alias("is_dashboard_exposed")))
-        .unionByName(found.exposed.select(
-            "change_id", "node", F.lit(None).cast("int").alias("hop"), no.alias("in_column_scope"),
-            F.lit(True).alias("is_dashboard_exposed")))
+    nodes = found.nodes.select("change_id", "node", "hop", "in_column_scope", no.alias("is_dashboard_exposed"))
+    exposed = found.exposed.select(
+        "change_id", "node", F.lit(None).cast("int").alias("hop"), no.alias("in_column_scope"),
+        F.lit(True).alias("is_dashboard_exposed"),
     )
-    return parts.groupBy("change_id", "node").agg(
+    return nodes.unionByName(exposed).groupBy("change_id", "node").agg(
         F.min("hop").alias("hop"),
         F.max("in_column_scope").alias("in_column_scope"),
         F.max("is_dashboard_exposed").alias("is_dashboard_exposed"),
@@ -85,16 +78,9 @@ def asset_profiles(estate: Estate) -> DataFrame:
     """Everything known about an asset whatever the change: one row per dataset node."""
     rows = estate.entities.withColumn("degree", F.lit(0))
     merged = siblings.coalesce_siblings(siblings.merge_siblings(rows, keys=())).drop("hop")
-    stars = classify.star_exposure(estate.corpus.filter(F.col("source_text").isNotNull()))
-    readable = estate.corpus.select(
-        F.col("path").alias("file_path"), F.col("compiled_text").isNotNull().alias("is_readable")
-    )
+    models = classify.star_exposure(estate.corpus).withColumnRenamed("path", "file_path")
     counts = estate.usage_log.groupBy("node").agg(F.count(F.lit(1)).alias("usage_count"))
-    profile = (
-        merged.join(readable, "file_path", "left")
-        .join(stars.withColumnRenamed("path", "file_path"), "file_path", "left")
-        .join(counts, "node", "left")
-    )
+    profile = merged.join(models, "file_path", "left").join(counts, "node", "left")
     return profile.withColumns({
         "is_readable": F.coalesce("is_readable", F.lit(False)),
         "select_star_exposure": F.coalesce("select_star_exposure", F.lit(False)),
@@ -103,22 +89,23 @@ def asset_profiles(estate: Estate) -> DataFrame:
     })
 
 
-def origin_evidence(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Evidence lines of pairs in column scope whose model reads the changed table.
+def origin_evidence(changes: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Models that read a changed table themselves, with the lines that name its column.
 
-    Model texts only meet the pairs that are origins, never the whole scan.
+    Starts from the changes, so model texts meet direct readers only and never
+    the whole scan.
     """
-    reads = classify.table_refs(corpus.filter(F.col("compiled_text").isNotNull())).filter(
-        F.col("schema_name") == SOURCE_SCHEMA
+    reads = classify.table_refs(corpus).filter(F.col("schema_name") == SOURCE_SCHEMA)
+    readers = changes.select("change_id", "column_name", F.lower("node").alias("table_name")).join(
+        reads.select("path", "table_name"), "table_name"
     )
-    origins = pairs.filter("in_column_scope").select(
-        "change_id", "node", "column_name", F.col("file_path").alias("path"), F.lower("root").alias("table_name")
-    ).join(reads.select("path", "table_name"), ["path", "table_name"])
     lines = text.matching_lines(
         F.col("source_text"), F.col("path"), text.word(F.col("column_name"), ignore_case=True)
     )
     texts = corpus.select("path", "source_text")
-    return origins.join(texts, "path", "left").select("change_id", "node", lines.alias("origin_lines"))
+    return readers.join(texts, "path").select(
+        "change_id", F.col("path").alias("file_path"), lines.alias("origin_lines"), F.lit(True).alias("reads_changed")
+    )
 
 
 def assess(
@@ -130,17 +117,15 @@ def assess(
     default every reached asset is assessed.
     """
     found = reach(estate, max_hops)
-    profiles = stage(asset_profiles(estate), "profiles")
     changes = estate.changes.select("change_id", F.col("node").alias("root"), "column_name", "change_type", "new_column")
-    rows = scanned(found).join(profiles, "node").join(changes, "change_id")
+    rows = scanned(found).join(asset_profiles(estate), "node").join(changes, "change_id")
     if budget is not None:
         rows = graph.bounded_scan(rows, found.dashboards, budget)
-    rows = stage(rows, "pairs")
-    origins = origin_evidence(rows, estate.corpus).withColumn("is_origin", F.lit(True))
-    joined = rows.join(origins, ["change_id", "node"], "left")
-    reads = F.coalesce("is_origin", F.lit(False))
+    joined = rows.join(origin_evidence(estate.changes, estate.corpus), ["change_id", "file_path"], "left")
     path, readable = F.col("file_path"), F.col("is_readable")
-    status = classify.compile_status(F.col("in_column_scope"), path, readable, reads)
+    status = classify.compile_status(
+        F.col("in_column_scope"), path, readable, F.coalesce("reads_changed", F.lit(False))
+    )
     graded = joined.withColumn("compile_status", status)
     why = classify.compile_evidence(
         F.col("compile_status"), path, readable, F.concat(F.lit(f"{SOURCE_SCHEMA}."), "root"), F.col("origin_lines")
@@ -153,7 +138,7 @@ def assess(
         severity.severity_score(
             F.col("break_mode"), F.col("usage_count"), F.col("is_dashboard_exposed"), F.col("has_business_owner")
         ),
-    ).drop("origin_lines", "is_origin", "star_evidence", "is_readable")
+    ).drop("origin_lines", "reads_changed", "star_evidence", "is_readable")
 
 
 def summarize(estate: Estate, assessment: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Call sites of every column expression cost more driver time than small plans do.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
