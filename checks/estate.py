@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import Inputs
 from faultline.functions import names, text
 from faultline.plans.assessment import Estate
-from faultline.session import stage
+from faultline.session import stage_all
 
 
 def _owners() -> Column:
@@ -59,10 +59,10 @@ def part_corpus(i: Inputs) -> DataFrame:
 
 def estate(i: Inputs) -> Estate:
     """Derived edges and texts are written once, as a catalog would hold them."""
-    return Estate(
-        changes=i.changes, edges=stage(i.edges, "edges"), column_edges=stage(i.column_edges, "column_edges"),
-        entities=entities(i), corpus=stage(asset_corpus(i), "corpus"), usage_log=i.usage_log,
-    )
+    stored = stage_all({
+        "changes": i.changes, "edges": i.edges, "column_edges": i.column_edges, "corpus": asset_corpus(i),
+    })
+    return Estate(entities=entities(i), usage_log=i.usage_log, **stored)
 
 
 # --- the same in SQL -----------------------------------------------------------

@@ -117,9 +117,10 @@ FROM lineitem
 """
 
 FIXTURES["fx_edges"] = f"""
-SELECT DISTINCT {_key("supplier", "l_suppkey")} AS src, {_key("order", "l_orderkey")} AS dst,
-       CASE WHEN l_suppkey = f.suppkey THEN 'model' ELSE 'job' END AS kind
-FROM lineitem JOIN fx_first_supplier f ON l_orderkey = f.orderkey
+SELECT {_key("supplier", "l.suppkey")} AS src, {_key("order", "l.orderkey")} AS dst,
+       CASE WHEN l.suppkey = f.suppkey THEN 'model' ELSE 'job' END AS kind
+FROM (SELECT DISTINCT l_suppkey AS suppkey, l_orderkey AS orderkey FROM lineitem) l
+JOIN fx_first_supplier f ON l.orderkey = f.orderkey
 UNION ALL
 SELECT {_key("order", "o_orderkey")}, {_key("customer", "o_custkey")}, 'model' FROM orders
 UNION ALL
@@ -131,13 +132,12 @@ SELECT {_key("nation", "n_nationkey")}, {_key("region", "n_regionkey")}, 'model'
 # Columns a, n and r (the return flags) travel supplier -> order -> customer and,
 # renamed, on to the nations of two customer segments.
 FIXTURES["fx_column_edges"] = f"""
-SELECT DISTINCT {_key("supplier", "l_suppkey")} AS src, lower(l_returnflag) AS src_col,
-       {_key("order", "l_orderkey")} AS dst, lower(l_returnflag) AS dst_col
-FROM lineitem
+SELECT {_key("supplier", "suppkey")} AS src, flag AS src_col, {_key("order", "orderkey")} AS dst, flag AS dst_col
+FROM (SELECT DISTINCT l_suppkey AS suppkey, l_orderkey AS orderkey, lower(l_returnflag) AS flag FROM lineitem) l
 UNION ALL
-SELECT DISTINCT {_key("order", "o_orderkey")}, lower(l_returnflag),
-       {_key("customer", "o_custkey")}, lower(l_returnflag)
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+SELECT {_key("order", "orderkey")}, flag, {_key("customer", "o_custkey")}, flag
+FROM (SELECT DISTINCT l_orderkey AS orderkey, lower(l_returnflag) AS flag FROM lineitem) l
+JOIN orders ON orderkey = o_orderkey
 WHERE o_orderstatus <> 'P'
 UNION ALL
 SELECT {_key("customer", "c_custkey")}, 'a', {_key("nation", "c_nationkey")}, 'total_a'

@@ -30,7 +30,7 @@ def cluster_edges(edges: DataFrame) -> DataFrame:
     return stage(edges, "edges", ("src",))
 
 
-def _search(
+def _layers(
     seeds: DataFrame,
     edges: DataFrame,
     search: Sequence[str],
@@ -38,28 +38,40 @@ def _search(
     max_hops: int,
     jobs: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
-    """Rows (search, position, hop) with the fewest hops, seeds left out.
+    """Rows (search, position, hop) for every hop at which a position is reached.
 
-    ``edges`` has a ``src_`` and a ``dst_`` column per position column.
+    ``edges`` has a ``src_`` and a ``dst_`` column per position column. The last
+    frontier stays lazy and may repeat rows; callers aggregate the layers.
     """
-    state = [*search, *position]
-    seeds = seeds.select(*state)
-    layers, frontier = [], seeds
+    frontier = seeds.select(*search, *position)
+    layers = [frontier.limit(0).withColumn("hop", F.lit(0))] if max_hops < 1 else []
     for hop in range(1, max_hops + 1):
         moved = _advance(frontier, edges, search, position)
         if jobs is not None:
             moved = moved.unionByName(_through_jobs(frontier, jobs, search))
-        frontier = moved.distinct()
+        frontier = moved
         if hop < max_hops:
             size = Observation()
-            frontier = stage(frontier.observe(size, F.count(F.lit(1)).alias("rows")), "frontier")
-            if size.get["rows"] == 0:
-                break
+            frontier = stage(moved.distinct().observe(size, F.count(F.lit(1)).alias("rows")), "frontier")
         layers.append(frontier.withColumn("hop", F.lit(hop)))
-    if not layers:
-        return seeds.withColumn("hop", F.lit(0)).limit(0)
-    reached = reduce(DataFrame.unionByName, layers).groupBy(*state).agg(F.min("hop").alias("hop"))
-    return reached.join(seeds, state, "left_anti")
+        if hop < max_hops and size.get["rows"] == 0:
+            break
+    return reduce(DataFrame.unionByName, layers)
+
+
+def _search(
+    seeds: DataFrame,
+    edges: DataFrame,
+    search: Sequence[str],
+    position: Sequence[str],
+    max_hops: int,
+    jobs: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Rows (search, position, hop) with the fewest hops, seeds left out."""
+    state = [*search, *position]
+    layers = _layers(seeds, edges, search, position, max_hops, jobs)
+    reached = layers.groupBy(*state).agg(F.min("hop").alias("hop"))
+    return reached.join(seeds.select(*state), state, "left_anti")
 
 
 def _advance(frontier: DataFrame, edges: DataFrame, search: Sequence[str], position: Sequence[str]) -> DataFrame:
@@ -130,16 +142,16 @@ def impact_reach(
     carries the changed column.
 
     One search over (node, column), where a star stands for the table as a whole,
-    needs half the jobs of two searches.
+    needs half the jobs of two searches. A cycle may lead back to the changed
+    table; that row is left for the caller to drop where it knows the root anyway.
     """
     lineage = lineage_edges(edges, column_edges)
     whole = changes.select("change_id", "node", F.lit(WHOLE_TABLE).alias("column_name"))
     seeds = whole.unionByName(changes.select("change_id", "node", "column_name"))
-    hits = _search(seeds, lineage, ("change_id",), ("node", "column_name"), max_hops)
-    reached = hits.groupBy("change_id", "node").agg(
+    hits = _layers(seeds, lineage, ("change_id",), ("node", "column_name"), max_hops)
+    return hits.groupBy("change_id", "node").agg(
         F.min("hop").alias("hop"), F.max(F.col("column_name") != WHOLE_TABLE).alias("in_column_scope")
     )
-    return exclude_root(reached, changes)
 
 
 def lineage_edges(edges: DataFrame, column_edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions import text
+from faultline.functions import names, text
 from faultline.operators import classify, decision, graph, severity, siblings
 from faultline.session import stage
 
@@ -89,22 +89,27 @@ def asset_profiles(estate: Estate) -> DataFrame:
     })
 
 
-def origin_evidence(changes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Models that read a changed table themselves, with the lines that name its column.
+def origin_evidence(estate: Estate) -> DataFrame:
+    """(change, node) whose model reads the changed table itself, with the lines that
+    name its column.
 
     Starts from the changes, so model texts meet direct readers only and never
     the whole scan.
     """
+    corpus = estate.corpus
     reads = classify.table_refs(corpus).filter(F.col("schema_name") == SOURCE_SCHEMA)
-    readers = changes.select("change_id", "column_name", F.lower("node").alias("table_name")).join(
+    readers = estate.changes.select("change_id", "column_name", F.lower("node").alias("table_name")).join(
         reads.select("path", "table_name"), "table_name"
     )
     lines = text.matching_lines(
         F.col("source_text"), F.col("path"), text.word(F.col("column_name"), ignore_case=True)
     )
-    texts = corpus.select("path", "source_text")
-    return readers.join(texts, "path").select(
-        "change_id", F.col("path").alias("file_path"), lines.alias("origin_lines"), F.lit(True).alias("reads_changed")
+    properties = F.col("entity")["properties"]["customProperties"]
+    files = estate.entities.select(
+        "node", names.custom_property(properties, names.FILE_PATH_PROPERTY).alias("path")
+    ).filter(F.col("path").isNotNull())
+    return readers.join(corpus.select("path", "source_text"), "path").join(files, "path").select(
+        "change_id", "node", lines.alias("origin_lines"), F.lit(True).alias("reads_changed")
     )
 
 
@@ -114,14 +119,17 @@ def assess(
     """One row per (change, asset) with status, evidence, exposure, owners and severity.
 
     ``budget`` caps the assets looked at per change as a call budget would; by
-    default every reached asset is assessed.
+    default every reached asset is assessed. Narrow pairs are joined by (change,
+    asset) first, where they already lie, and get the asset's columns last.
     """
     found = reach(estate, max_hops)
     changes = estate.changes.select("change_id", F.col("node").alias("root"), "column_name", "change_type", "new_column")
-    rows = scanned(found).join(asset_profiles(estate), "node").join(changes, "change_id")
+    pairs = scanned(found).join(origin_evidence(estate), ["change_id", "node"], "left")
+    joined = pairs.join(changes, "change_id").filter(F.col("node") != F.col("root")).join(
+        asset_profiles(estate), "node"
+    )
     if budget is not None:
-        rows = graph.bounded_scan(rows, found.dashboards, budget)
-    joined = rows.join(origin_evidence(estate.changes, estate.corpus), ["change_id", "file_path"], "left")
+        joined = graph.bounded_scan(joined, found.dashboards, budget)
     path, readable = F.col("file_path"), F.col("is_readable")
     status = classify.compile_status(
         F.col("in_column_scope"), path, readable, F.coalesce("reads_changed", F.lit(False))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Parquet unpacks to several times its file size; broadcasts are judged by that.
+    "spark.sql.sources.fileCompressionFactor": "5.0",
+    # A join whose partitions turn out small at run time hashes them instead of sorting.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Call sites of every column expression cost more driver time than small plans do.
@@ -75,3 +81,10 @@ def stage(df: DataFrame, name: str, cluster_by: tuple[str, ...] = ()) -> DataFra
         .saveAsTable(table)
     )
     return spark.table(table)
+
+
+def stage_all(frames: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Stage independent tables at the same time, so one's last tasks overlap the next."""
+    with ThreadPoolExecutor(len(frames)) as pool:
+        running = {name: pool.submit(stage, df, name) for name, df in frames.items()}
+        return {name: job.result() for name, job in running.items()}
