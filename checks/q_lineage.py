@@ -10,7 +10,7 @@ from faultline.functions import names
 from faultline.operators import graph, siblings, verify
 from faultline.operators import drift
 from faultline.plans import assessment
-from faultline.session import run_path
+from faultline.session import run_path, stage
 from faultline.sources import files
 
 
@@ -20,11 +20,9 @@ def payload_hits(i):
     hits = broad.join(e.entities(i), "node").select(
         "change_id", F.struct("entity", F.col("hop").alias("degree")).alias("hit")
     )
-    # One response holds one page of hits, so a change may span several objects.
-    pages = hits.withColumn("page", F.pmod(F.xxhash64("hit.entity.urn"), F.lit(64)))
-    responses = pages.groupBy("change_id", "page").agg(
-        F.count(F.lit(1)).alias("total"), F.collect_list("hit").alias("searchResults")
-    ).select("change_id", F.struct("total", "searchResults").alias("downstreams"))
+    # A response is one page of hits; pages of one hit need no change to be gathered.
+    page = F.struct(F.lit(1).cast("long").alias("total"), F.array("hit").alias("searchResults"))
+    responses = hits.select("change_id", page.alias("downstreams"))
     path = run_path(i.spark, "lineage")
     files.write_json(responses, path)
     return files.lineage_hits(files.read_lineage(i.spark, path))
@@ -91,7 +89,7 @@ def resolve_urn(i):
 
 @query("downstream_reach", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
 def downstream_reach(i):
-    return graph.downstream_reach(i.changes, i.edges)
+    return graph.downstream_reach(i.changes, graph.cluster_edges(i.edges))
 
 
 @query("downstream_reach_jobs", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
@@ -105,14 +103,14 @@ def downstream_reach_jobs(i):
        "(SELECT *, 1 AS hop FROM cols_1 UNION ALL SELECT *, 2 FROM cols_2 UNION ALL SELECT *, 3 FROM cols_3) GROUP BY ALL",
        e.COLUMNS)
 def column_reach(i):
-    return graph.column_reach(i.changes, i.column_edges)
+    return graph.column_reach(i.changes, stage(i.column_edges, "column_edges"))
 
 
 @query("upstream_reach", "SELECT dashboard, node, hop FROM ups_all", e.UPSTREAM)
 def upstream_reach(i):
     boards = i.assets.filter(F.col("type") == "DASHBOARD")
     seeds = boards.select(F.col("node").alias("dashboard"), "node")
-    return graph.upstream_reach(seeds, i.edges)
+    return graph.upstream_reach(seeds, stage(i.edges, "edges"))
 
 
 @query("dashboard_exposure", "SELECT change_id, node FROM exposed", e.EXPOSED)

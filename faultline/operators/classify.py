@@ -36,11 +36,12 @@ def table_refs(compiled: DataFrame) -> DataFrame:
     clean = compiled.select("path", text.without_comments(F.col("compiled_text")).alias("sql"))
     names = clean.select(
         "path",
-        F.explode(F.array_distinct(F.regexp_extract_all("sql", F.lit(_READS), 1))).alias("name"),
+        # An outer explode: the inner one would repeat the patterns in a pushed-down filter.
+        F.explode_outer(F.array_distinct(F.regexp_extract_all("sql", F.lit(_READS), 1))).alias("name"),
         F.transform(
             F.regexp_extract_all("sql", F.lit(_CTE), 1), lambda n: F.lower(F.btrim(n, F.lit('"')))
         ).alias("own"),
-    ).select("path", "own", _segment(F.col("name"), 1).alias("table_name"),
+    ).filter(F.col("name").isNotNull()).select("path", "own", _segment(F.col("name"), 1).alias("table_name"),
              F.coalesce(_segment(F.col("name"), 2), F.lit("")).alias("schema_name"))
     foreign = (F.col("schema_name") != "") | ~F.array_contains("own", F.col("table_name"))
     return names.filter(foreign).select("path", "schema_name", "table_name").distinct()
@@ -58,8 +59,8 @@ def _stars(sql: Column) -> Column:
 def star_aliases(compiled: DataFrame) -> DataFrame:
     """One row per star expansion: the alias of ``a.*``, null for a bare ``*``."""
     sql = text.without_comments(F.col("compiled_text"))
-    stars = compiled.select("path", F.posexplode(_stars(sql)).alias("position", "alias"))
-    return stars.select("path", "position", F.nullif("alias", F.lit("")).alias("alias"))
+    stars = compiled.select("path", F.posexplode_outer(_stars(sql)).alias("position", "alias"))
+    return stars.filter(F.col("position").isNotNull()).select("path", "position", F.nullif("alias", F.lit("")).alias("alias"))
 
 
 def _star_evidence(source: Column, path: Column, aliases: Column) -> Column:
@@ -98,9 +99,8 @@ def star_exposure(corpus: DataFrame) -> DataFrame:
 def line_evidence(corpus: DataFrame, column: Column, ignore_case: bool = True) -> DataFrame:
     """One row per source line that names the column, comment lines left out."""
     pattern = text.word(column, ignore_case)
-    return corpus.select(
-        "path", F.explode(text.matching_lines(F.col("source_text"), F.col("path"), pattern)).alias("evidence")
-    )
+    lines = text.matching_lines(F.col("source_text"), F.col("path"), pattern)
+    return corpus.select("path", F.explode_outer(lines).alias("evidence")).filter(F.col("evidence").isNotNull())
 
 
 def compile_status(in_column_scope: Column, path: Column, is_readable: Column, reads_changed_table: Column) -> Column:

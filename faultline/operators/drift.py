@@ -68,11 +68,10 @@ def column_changes(before: Column, after: Column) -> Column:
 
 def explode_changes(pairs: DataFrame) -> DataFrame:
     """One row per change of each (previous_columns, columns) pair; no baseline, no change."""
-    known = pairs.filter(F.col("previous_columns").isNotNull())
-    return known.select(
-        *KEY, "captured_at", F.posexplode(column_changes(F.col("previous_columns"), F.col("columns")))
-        .alias("seq", "change")
-    ).select(*KEY, "captured_at", "seq", "change.*")
+    # An outer explode: the inner one would repeat the comparison in a pushed-down filter.
+    changes = F.posexplode_outer(column_changes(F.col("previous_columns"), F.col("columns")))
+    found = pairs.select(*KEY, "captured_at", changes.alias("seq", "change")).filter(F.col("change").isNotNull())
+    return found.select(*KEY, "captured_at", "seq", "change.*")
 
 
 def snapshot_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -83,9 +82,7 @@ def snapshot_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 def consecutive_pairs(history: DataFrame) -> DataFrame:
     """Each snapshot with the column list of the one before it."""
-    return previous_within(
-        history, KEY, "captured_at", "columns", "previous_columns", F.date_trunc("month", "captured_at")
-    )
+    return previous_within(history, KEY, "captured_at", "columns", "previous_columns")
 
 
 def history_diff(history: DataFrame) -> DataFrame:

@@ -29,6 +29,16 @@ def number_by_id(df: DataFrame, id_column: str, out: str, width: int = 1 << 20)
     return numbered.withColumn(out, F.col("_rn") + F.col("_offset")).drop(_PART, "_rn", "_offset")
 
 
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` cut into ranges of keys *and* order, with the number of each row's range.
+
+    A key that holds a third of the table spreads over a third of the ranges. The
+    range number is written with the rows; a re-run of a lost task cannot change it.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+    return stage(ranged.withColumn(_PART, F.spark_partition_id()), "ranged")
+
+
 def number_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,13 +47,9 @@ def number_within(
 ) -> DataFrame:
     """1-based row number per ``keys`` in ``order``, with hot keys split.
 
-    The rows are range-partitioned on keys *and* order, so a key that holds a
-    third of the table spreads over a third of the partitions. The partition
-    number is written with the rows; a re-run of a lost task cannot change it.
     ``order`` must be total within a key.
     """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    rows = stage(ranged.withColumn(_PART, F.spark_partition_id()), "ranged")
+    rows = _ranged(df, keys, order)
     counts = rows.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, _PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -52,26 +58,18 @@ def number_within(
     return numbered.withColumn(out, (F.col("_rn") + F.col("_offset")).cast("long")).drop(_PART, "_rn", "_offset")
 
 
-def previous_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    order_column: str,
-    value: str,
-    out: str,
-    span: Column,
-) -> DataFrame:
+def previous_within(df: DataFrame, keys: Sequence[str], order_column: str, value: str, out: str) -> DataFrame:
     """The ``value`` of the preceding row per ``keys``, null on the first row.
 
-    ``span`` cuts the order column into consecutive stretches (a day, a month).
-    Windows run per key and stretch; the first row of a stretch takes its value
-    from the last row of the stretch before it, found on one row per stretch.
+    Windows run per key and range; the first row of a range takes its value from
+    the last row of the key's range before it, found on one row per range.
     """
-    rows = df.withColumn("_span", span)
-    inside = Window.partitionBy(*keys, "_span").orderBy(order_column)
+    rows = _ranged(df, keys, [F.col(order_column)])
+    inside = Window.partitionBy(*keys, _PART).orderBy(order_column)
     rows = rows.withColumn("_prev", F.lag(F.struct(value)).over(inside))
-    ends = rows.groupBy(*keys, "_span").agg(F.max_by(F.struct(value), order_column).alias("_last"))
+    ends = rows.groupBy(*keys, _PART).agg(F.max_by(F.struct(value), order_column).alias("_last"))
     ends = ends.select(
-        *keys, "_span", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_span")).alias("_carried")
+        *keys, _PART, F.lag("_last").over(Window.partitionBy(*keys).orderBy(_PART)).alias("_carried")
     )
-    joined = rows.join(ends, [*keys, "_span"])
-    return joined.withColumn(out, F.coalesce("_prev", "_carried")[value]).drop("_span", "_prev", "_carried")
+    joined = rows.join(ends, [*keys, _PART])
+    return joined.withColumn(out, F.coalesce("_prev", "_carried")[value]).drop(_PART, "_prev", "_carried")

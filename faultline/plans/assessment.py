@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -48,11 +49,18 @@ def asset_types(entities: DataFrame) -> DataFrame:
 
 
 def reach(estate: Estate, max_hops: int = graph.DEFAULT_HOPS) -> Reach:
-    """The downstream search, and which reached nodes feed a reached dashboard."""
-    nodes = stage(graph.impact_reach(estate.changes, estate.edges, estate.column_edges, max_hops), "reach")
-    boards = graph.dashboards_reached(nodes, asset_types(estate.entities))
-    seeds = boards.select("dashboard", F.col("dashboard").alias("node")).distinct()
-    upstream = graph.upstream_reach(seeds, estate.edges, max_hops)
+    """The downstream search, and which reached nodes feed a reached dashboard.
+
+    Dashboards are searched upstream once each, at the same time as the changes
+    are searched downstream; only those a change reaches count for it.
+    """
+    types = asset_types(estate.entities)
+    seeds = types.filter("type = 'DASHBOARD'").select(F.col("node").alias("dashboard"), "node")
+    with ThreadPoolExecutor(1) as beside:
+        upward = beside.submit(graph.upstream_reach, seeds, estate.edges, max_hops)
+        nodes = stage(graph.impact_reach(estate.changes, estate.edges, estate.column_edges, max_hops), "reach")
+        upstream = upward.result()
+    boards = graph.dashboards_reached(nodes, types)
     return Reach(nodes, boards, graph.dashboard_exposure(nodes, boards, upstream))
 
 

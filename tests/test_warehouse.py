@@ -45,10 +45,10 @@ def test_number_within_splits_a_hot_key_and_stays_exact(spark):
     assert {r.id: r["rank"] for r in got} == expected
 
 
-def test_previous_value_crosses_spans_and_keeps_nulls(spark):
+def test_previous_value_crosses_ranges_and_keeps_nulls(spark):
     rows = [("a", d, None if d == 40 else d * 10) for d in (1, 2, 33, 40, 95)] + [("b", 50, 7)]
     df = spark.createDataFrame(rows, "k string, d int, v int")
-    got = ordering.previous_within(df, ["k"], "d", "v", "before", F.floor(F.col("d") / 30)).collect()
+    got = ordering.previous_within(df, ["k"], "d", "v", "before").collect()
     assert {(r.k, r.d): r.before for r in got} == {
         ("a", 1): None, ("a", 2): 10, ("a", 33): 20, ("a", 40): 330, ("a", 95): None, ("b", 50): None,
     }
@@ -99,3 +99,9 @@ def test_full_refresh_replaces_the_table(spark, tmp_path):
     path.write_text("order_id,cust_id,order_date,status,amount\n1,2,2024-01-01 10:00:00,pending,3.50\n2,2,2024-01-02 10:00:00,completed,4\n")
     assert files.full_refresh(spark, str(path), table, schema) == 2
     assert spark.read.parquet(table).schema["amount"].dataType.simpleString() == "decimal(10,2)"
+
+
+def test_previous_value_of_a_hot_key(spark):
+    df = spark.createDataFrame([("hot", i, i * 3) for i in range(2000)] + [("cold", 5, 1)], "k string, d int, v int")
+    got = {(r.k, r.d): r.before for r in ordering.previous_within(df, ["k"], "d", "v", "before").collect()}
+    assert got == {("hot", i): (i - 1) * 3 if i else None for i in range(2000)} | {("cold", 5): None}
