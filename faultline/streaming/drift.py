@@ -27,29 +27,30 @@ def snapshot_stream(spark: SparkSession, path: str, files_per_batch: int = 1) ->
     return reader.json(path).filter(F.col("columns").isNotNull() & F.col("captured_at").isNotNull())
 
 
-def _pair_up(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Pair each snapshot of one table with the one held; keep the newest.
-
-    A snapshot that is not newer than the held one is passed on as stale. The
-    comparison of columns is left to the JVM side.
-    """
-    rows = pd.concat(list(batches)).sort_values("captured_at", kind="stable")
-    held_at, held = None, None
-    if state.exists:
-        held_at, names, types = state.get
-        held = [{"name": n, "type": t} for n, t in zip(names, types)]
-    out = []
-    for row in rows.itertuples(index=False):
-        at = row.captured_at.timestamp()
-        columns = [{"name": c["name"], "type": c["type"]} for c in row.columns]
-        stale = held_at is not None and at <= held_at
-        out.append((*key, row.captured_at, None if stale else held, columns, stale))
-        if not stale:
-            held_at, held = at, columns
-    state.update((held_at, [c["name"] for c in held], [c["type"] for c in held]))
-    yield pd.DataFrame(
-        out, columns=[*drift.KEY, "captured_at", "previous_columns", "columns", "stale"]
-    )
+def _pairing(out_columns: list[str]):
+    """The stateful function. It refers to nothing of this package, so Spark ships it
+    whole and workers need no copy of the package."""
+
+    def pair_up(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # Pairs each snapshot of one table with the one held and keeps the newest. A
+        # snapshot that is not newer is passed on as stale.
+        rows = pd.concat(list(batches)).sort_values("captured_at", kind="stable")
+        held_at, held = None, None
+        if state.exists:
+            held_at, names, types = state.get
+            held = [{"name": n, "type": t} for n, t in zip(names, types)]
+        out = []
+        for row in rows.itertuples(index=False):
+            at = row.captured_at.timestamp()
+            columns = [{"name": c["name"], "type": c["type"]} for c in row.columns]
+            stale = held_at is not None and at <= held_at
+            out.append((*key, row.captured_at, None if stale else held, columns, stale))
+            if not stale:
+                held_at, held = at, columns
+        state.update((held_at, [c["name"] for c in held], [c["type"] for c in held]))
+        yield pd.DataFrame(out, columns=out_columns)
+
+    return pair_up
 
 
 def pair_stream(snapshots: DataFrame) -> DataFrame:
@@ -59,7 +60,8 @@ def pair_stream(snapshots: DataFrame) -> DataFrame:
     meet in one call, which the batch's file limit bounds.
     """
     return snapshots.groupBy(*drift.KEY).applyInPandasWithState(
-        _pair_up, _PAIR, _STATE, "append", GroupStateTimeout.NoTimeout
+        _pairing([*drift.KEY, "captured_at", "previous_columns", "columns", "stale"]),
+        _PAIR, _STATE, "append", GroupStateTimeout.NoTimeout,
     )
 
 
