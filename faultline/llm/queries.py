@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from faultline.llm import chat_format, curriculum, exact_dedup, license_scan, sentence_piece, simhash_trie, token_count  # noqa: F401
+from faultline.llm import chat_format, curriculum, exact_dedup, license_scan, sentence_piece, simhash_trie, syncmers, token_count  # noqa: F401
 from faultline.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
