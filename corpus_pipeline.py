@@ -1,27 +1,51 @@
-"""The corpus pipeline: stages that each take the documents their predecessor kept."""
+"""The corpus pipeline: stages that each take the documents their predecessor kept.
+
+Rejected documents go, then exact copies, then all but one of each group of near
+copies; what is left is mixed to source weights, in training order, and encoded. A
+document the mix repeats has a row for each copy.
+
+All stages carry the columns of ``documents`` through, whatever they are; the last
+returns ids, token ids and the check of their decoding.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import curriculum, exact_dedup
+from faultline.llm import curriculum, exact_dedup, pu_quality, sentence_piece, simhash_trie
 from faultline.session import run_path
 
 
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pu_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_trie.keep_one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum.mix(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentence_piece.encode_documents(docs)
+
+
 STAGES = [
+    ("quality classifier", keep_good_quality),
     ("exact dedup", drop_exact_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-# The classifier, the fingerprints and the tokenizer have no SQL form.
+# The classifier, the fingerprints and the tokenizer have no SQL form; tests/llm holds
+# the stages against brute force.
 ORACLE_SQL = None
 
 
