@@ -9,10 +9,10 @@ prefix ends with, and a left-to-right pass finds it among the at most
 paths of all positions in the last ``longest`` characters run through one boundary;
 only what follows it is held.
 
-Boundaries no piece of the vocabulary spans - before a run of word marks, and on
-both sides of a character that is in no piece - are such a point for all paths at
-once. What lies between two of them is encoded once per distinct string and task
-while a bounded memo holds it.
+Boundaries no piece of the vocabulary spans - before a run of word marks, and
+between neighbours that stand together in no piece - are such a point for all paths at
+once. What lies between two of them is encoded once per distinct string and
+Python worker, as long as a bounded memo holds it.
 
 Defined results: null text is the empty text, no ids; a character outside the
 vocabulary becomes its bytes' pieces; a word mark in the text decodes to a space,
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,9 +35,10 @@ from faultline.llm.common import query, table, texts, tokenizer_file
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 400_000
 # Strings over this length go through the stream without being remembered.
 MEMO_LENGTH = 64
+_WHOLE, _MORE = 1, 2
 
 
 class Pieces:
@@ -57,8 +59,14 @@ class Pieces:
         self.controls = skipped
         self.longest = max(map(len, self.ids))
         self.letters = set("".join(self.ids))
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p))}
-        self._pairs: dict[str | None, dict[str, bool]] = {}
+        # Neighbouring characters that stand in some piece; no piece spans any others.
+        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        # What a string is to the vocabulary: a piece, the start of a longer one, or both.
+        self.kinds = dict.fromkeys(self.ids, _WHOLE)
+        for p in self.ids:
+            for k in range(1, len(p)):
+                self.kinds[p[:k]] = self.kinds.get(p[:k], 0) | _MORE
+        self.followers: dict[str | None, dict[str, bool]] = defaultdict(dict)
         self._n_pairs = 0
 
     def merged(self, text: str) -> list[str]:
@@ -74,23 +82,17 @@ class Pieces:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def followers(self, left: str | None) -> dict[str, bool]:
-        """What is known of the pieces that may follow ``left`` (None: the start)."""
-        known = self._pairs.get(left)
-        if known is None:
-            known = self._pairs[left] = {}
-        return known
-
-    def stands(self, left: str | None, piece: str, known: dict[str, bool]) -> bool:
-        """Whether ``piece`` may follow ``left``; remembered in ``known``."""
+    def stands(self, left: str | None, piece: str) -> bool:
+        """Whether ``piece`` may follow ``left`` (None: the start); remembered in ``followers``."""
         if left is None:
             answer = self.merged(piece) == [piece]
         else:
             answer = self.merged(left + piece) == [left, piece]
         if self._n_pairs >= MEMO_ENTRIES:
-            self._pairs.clear()
+            for known in self.followers.values():
+                known.clear()
             self._n_pairs = 0
-        known[piece] = answer
+        self.followers[left][piece] = answer
         self._n_pairs += 1
         return answer
 
@@ -101,24 +103,27 @@ def stream_pieces(pieces: Pieces, text: str) -> Iterator[str]:
     ``back`` holds the one piece that ends at each position a path has reached,
     from the last committed boundary to ``longest`` characters ahead.
     """
-    ids, prefixes, stands, longest = pieces.ids, pieces.prefixes, pieces.stands, pieces.longest
+    kinds, stands, longest = pieces.kinds, pieces.stands, pieces.longest
+    followers = pieces.followers
     back: dict[int, str | None] = {0: None}
     base, n = 0, len(text)
     next_look = 4 * longest
     for start in range(n):
         left = back[start]
-        follow = pieces.followers(left)
+        follow = followers[left]
         end = start + 1
-        piece = text[start:end]
+        piece = text[start]
+        kind = kinds.get(piece, 0) | _WHOLE  # a character is always allowed
         while True:
-            if end not in back and (end == start + 1 or piece in ids):
+            if kind & _WHOLE and end not in back:
                 known = follow.get(piece)
-                if known or known is None and stands(left, piece, follow):
+                if known or known is None and stands(left, piece):
                     back[end] = piece
-            if piece not in prefixes or end == n:
+            if not kind & _MORE or end == n:
                 break
             end += 1
             piece = text[start:end]
+            kind = kinds.get(piece, 0)
         if start >= next_look:
             # Take the farthest path back piece by piece until all run through one boundary.
             live = {end for end in range(start + 1, min(n, start + longest) + 1) if end in back}
@@ -153,8 +158,9 @@ class Codec:
         inside = all(MARK not in p.lstrip(MARK) for p in self.pieces.ids)
         self._split = re.compile(f"{MARK}+[^{MARK}{cls}]*|[^{MARK}{cls}]+|[{cls}]" if inside else r"[\s\S]+")
         self._memo: dict[str, tuple[int, ...]] = {}
+        self._cuts: dict[str, tuple[int, ...]] = {}
 
-    def _ids(self, part: str) -> tuple[int, ...]:
+    def _piece_ids(self, part: str) -> tuple[int, ...]:
         out: list[int] = []
         ids, byte_ids = self.pieces.ids, self.pieces.byte_ids
         for piece in stream_pieces(self.pieces, part):
@@ -165,19 +171,33 @@ class Codec:
                 out.append(known)
         return tuple(out)
 
+    def _remembered(self, memo: dict, part: str, ids_of: Callable[[str], tuple[int, ...]]) -> tuple[int, ...]:
+        known = memo.get(part)
+        if known is None:
+            known = ids_of(part)
+            if len(part) <= MEMO_LENGTH:
+                if len(memo) >= MEMO_ENTRIES:
+                    memo.clear()
+                memo[part] = known
+        return known
+
+    def _cut_ids(self, part: str) -> tuple[int, ...]:
+        """Ids of a part, cut once more wherever no piece holds both neighbours."""
+        joined = self.pieces.joined
+        out: tuple[int, ...] = ()
+        begin = 0
+        for at in range(1, len(part) + 1):
+            if part[at - 1 : at + 1] not in joined:
+                out += self._remembered(self._cuts, part[begin:at], self._piece_ids)
+                begin = at
+        return out
+
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        memo, out = self._memo, []
-        for part in self._split.findall(MARK + text.replace(" ", MARK)):
-            known = memo.get(part)
-            if known is None:
-                known = self._ids(part)
-                if len(part) <= MEMO_LENGTH:
-                    if len(memo) >= MEMO_ENTRIES:
-                        memo.clear()
-                    memo[part] = known
-            out += known
+        out: list[int] = []
+        if text:
+            memo = self._memo
+            for part in self._split.findall(MARK + text.replace(" ", MARK)):
+                out += memo.get(part) or self._remembered(memo, part, self._cut_ids)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -199,11 +219,25 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+class CodecOnce:
+    """A codec made where it is first used; as a broadcast value it lives as long as its worker."""
+
+    def __init__(self, model: str):
+        self.model = model
+        self._codec: Codec | None = None
+
+    def get(self) -> Codec:
+        if self._codec is None:
+            self._codec = Codec(tokenizer_file(self.model))
+        return self._codec
+
+
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """One row per document: its ids, and what they decode to, checked against the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(CodecOnce(model))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(tokenizer_file(model))
+        codec = shared.value.get()
         for batch in batches:
             ids, digests, same = [], [], []
             for value in batch.column(1):
