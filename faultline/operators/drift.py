@@ -66,12 +66,12 @@ def column_changes(before: Column, after: Column) -> Column:
     return F.when((F.size(gone) == 1) & (F.size(come) == 1), rename).otherwise(singles)
 
 
-def explode_changes(pairs: DataFrame) -> DataFrame:
+def explode_changes(pairs: DataFrame, *carried: str) -> DataFrame:
     """One row per change of each (previous_columns, columns) pair; no baseline, no change."""
     # An outer explode: the inner one would repeat the comparison in a pushed-down filter.
     changes = F.posexplode_outer(column_changes(F.col("previous_columns"), F.col("columns")))
-    found = pairs.select(*KEY, "captured_at", changes.alias("seq", "change")).filter(F.col("change").isNotNull())
-    return found.select(*KEY, "captured_at", "seq", "change.*")
+    found = pairs.select(*KEY, "captured_at", *carried, changes.alias("seq", "change"))
+    return found.filter(F.col("change").isNotNull()).select(*KEY, "captured_at", *carried, "seq", "change.*")
 
 
 def snapshot_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -95,13 +95,23 @@ def actionable(changes: DataFrame) -> DataFrame:
     return changes.filter(F.col("old_column").isNotNull() & F.col("new_column").isNotNull())
 
 
+def _first_of_each(columns: str) -> Column:
+    """The column list in order of name and type, only the first of equal names."""
+    ordered = F.array_sort(F.filter(columns, lambda c: c["name"].isNotNull()))
+    before = lambda i: F.get(ordered, i - 1)["name"]
+    return F.filter(ordered, lambda c, i: (i == 0) | (c["name"] != before(i)))
+
+
 def type_changes(history: DataFrame) -> DataFrame:
-    """Columns whose type differs from the snapshot before; separate from the name changes."""
+    """Columns whose type differs from the snapshot before; separate from the name changes.
+
+    A name that a snapshot lists more than once counts with the first of its types.
+    """
     pairs = consecutive_pairs(history).filter(F.col("previous_columns").isNotNull())
-    before = F.map_from_entries("previous_columns")
+    before = F.map_from_entries(_first_of_each("previous_columns"))
     changed = F.filter(
         F.transform(
-            "columns",
+            _first_of_each("columns"),
             lambda c: F.struct(
                 c["name"].alias("column_name"), F.try_element_at(before, c["name"]).alias("old_type"),
                 c["type"].alias("new_type"),

@@ -36,9 +36,8 @@ def shadow_run(
 
 def shadow_parity(
     raw_customers: DataFrame, renamed_customers: DataFrame, raw_orders: DataFrame, renames: Mapping[str, str],
-    digits: int | None = None,
 ) -> DataFrame:
     """Golden marts against marts built after the rename, per table."""
-    golden = quality.golden_capture(run_models(raw_customers, raw_orders), digits)
-    candidate = quality.golden_capture(shadow_run(renamed_customers, raw_orders, renames), digits)
+    golden = quality.golden_capture(run_models(raw_customers, raw_orders))
+    candidate = quality.golden_capture(shadow_run(renamed_customers, raw_orders, renames))
     return quality.parity(golden, candidate)

@@ -73,13 +73,20 @@ def save_snapshots(snapshots: DataFrame, path: str) -> None:
     write_json(snapshots.select("platform", "schema_name", "table_name", "columns", "captured_at"), path)
 
 
+def _is_missing(error: AnalysisException) -> bool:
+    """Whether nothing was ever written there; any other error is one."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def load_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Usable snapshots below ``path``; missing files, corrupt rows and rows without a
     required field yield no baseline rather than an error."""
     schema = f"{schemas.SNAPSHOT}, {_CORRUPT} STRING"
     try:
         rows = spark.read.schema(schema).options(mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT).json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _is_missing(error):
+            raise
         return spark.createDataFrame([], schemas.SNAPSHOT)
     complete = F.col(_CORRUPT).isNull()
     for name in ("platform", "schema_name", "table_name", "columns", "captured_at"):
@@ -96,7 +103,9 @@ def read_outcomes(spark: SparkSession, path: str, schema: str = schemas.WATCH_OU
     """The log in the order it was appended; empty if nothing was ever logged."""
     try:
         rows = spark.read.schema(schema).json(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if not _is_missing(error):
+            raise
         return spark.createDataFrame([], schema)
     return rows.orderBy("batch", "seq")
 

@@ -1,104 +1,115 @@
-"""Schema drift on a stream of snapshots."""
+"""Schema drift on a stream of snapshots.
 
-from __future__ import annotations
+Every micro-batch is added to a log of snapshots, each beside the columns its table
+had before. For that a batch meets one row per table, the newest snapshot held, and
+not the history. A snapshot that is not newer than the one held is late: it goes to the
+log unpaired, and reading the log pairs the snapshots of such tables anew, so the
+changes are those of the whole history in whatever order files came.
+
+Below the log's path are ``pairs/batch=<id>`` and ``newest/slot=<0 or 1>``. A batch
+reads the slot of the batch before it and replaces its own folders, so a repeated one
+changes nothing. One batch at a time writes a log.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from faultline.operators import drift
 from faultline.plans.watch import log_entries
+from faultline.session import stage
 from faultline.sources import schemas
 
 _COLUMNS = "array<struct<name:string,type:string>>"
-_PAIR = (
-    "platform string, schema_name string, table_name string, captured_at timestamp,"
-    f" previous_columns {_COLUMNS}, columns {_COLUMNS}, stale boolean"
-)
-_STATE = "captured_at double, names array<string>, types array<string>"
-
-
-def snapshot_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Snapshots as they arrive; a micro-batch is bounded by its number of files."""
-    reader = spark.readStream.schema(schemas.SNAPSHOT).option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(path).filter(F.col("columns").isNotNull() & F.col("captured_at").isNotNull())
-
-
-def _pairing(out_columns: list[str]):
-    """The stateful function. It refers to nothing of this package, so Spark ships it
-    whole and workers need no copy of the package."""
-
-    def pair_up(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # Pairs each snapshot of one table with the one held and keeps the newest. A
-        # snapshot that is not newer is passed on as stale.
-        rows = pd.concat(list(batches)).sort_values("captured_at", kind="stable")
-        held_at, held = None, None
-        if state.exists:
-            held_at, names, types = state.get
-            held = [{"name": n, "type": t} for n, t in zip(names, types)]
-        out = []
-        for row in rows.itertuples(index=False):
-            at = row.captured_at.timestamp()
-            columns = [{"name": c["name"], "type": c["type"]} for c in row.columns]
-            stale = held_at is not None and at <= held_at
-            out.append((*key, row.captured_at, None if stale else held, columns, stale))
-            if not stale:
-                held_at, held = at, columns
-        state.update((held_at, [c["name"] for c in held], [c["type"] for c in held]))
-        yield pd.DataFrame(out, columns=out_columns)
-
-    return pair_up
-
-
-def pair_stream(snapshots: DataFrame) -> DataFrame:
-    """Each snapshot with the columns held for its table before it.
-
-    State is one column list per table. The rows of one table inside a micro-batch
-    meet in one call, which the batch's file limit bounds.
-    """
-    return snapshots.groupBy(*drift.KEY).applyInPandasWithState(
-        _pairing([*drift.KEY, "captured_at", "previous_columns", "columns", "stale"]),
-        _PAIR, _STATE, "append", GroupStateTimeout.NoTimeout,
+_NEWEST = f"platform string, schema_name string, table_name string, captured_at timestamp, columns {_COLUMNS}"
+_PAIRS = f"{_NEWEST}, previous_columns {_COLUMNS}, late boolean, batch bigint"
+_AT = [*drift.KEY, "captured_at"]
+
+
+def snapshot_stream(
+    spark: SparkSession, path: str, bytes_per_batch: int = 1 << 30, files_per_batch: int | None = None
+) -> DataFrame:
+    """Usable snapshots as they arrive; a micro-batch is bounded by bytes, or by files where told."""
+    reader = spark.readStream.schema(schemas.SNAPSHOT)
+    if files_per_batch is None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
+    else:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path).dropna(subset=[*_AT, "columns"])
+
+
+def _one_per_time(snapshots: DataFrame, *aggregates) -> DataFrame:
+    """Snapshots of one table and time are one, with the columns of all of them."""
+    together = F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("columns")
+    return snapshots.groupBy(*_AT).agg(together, *aggregates)
+
+
+def _add_batch(path: str):
+    def add(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = stage(_one_per_time(batch), "snapshots")
+        if batch_id:
+            newest = spark.read.schema(_NEWEST).parquet(f"{path}/newest/slot={(batch_id - 1) % 2}")
+        else:
+            newest = spark.createDataFrame([], _NEWEST)
+        newest = newest.select(*_AT, "columns")
+        held = newest.join(rows.select(*drift.KEY).distinct(), list(drift.KEY), "left_semi")
+        rows = rows.join(held.select(*drift.KEY, F.col("captured_at").alias("held_at")), list(drift.KEY), "left")
+        rows = rows.withColumn("late", F.coalesce(F.col("captured_at") <= F.col("held_at"), F.lit(False))).drop("held_at")
+
+        timely = rows.filter(~F.col("late"))
+        known = held.withColumn("late", F.lit(None).cast("boolean"))
+        paired = drift.consecutive_pairs(timely.unionByName(known)).filter(F.col("late").isNotNull())
+        unpaired = rows.filter("late").withColumn("previous_columns", F.lit(None).cast(_COLUMNS))
+        paired.unionByName(unpaired).write.mode("overwrite").parquet(f"{path}/pairs/batch={batch_id}")
+
+        latest = newest.unionByName(timely.drop("late")).groupBy(*drift.KEY).agg(
+            F.max("captured_at").alias("captured_at"), F.max_by("columns", "captured_at").alias("columns"))
+        latest.write.mode("overwrite").parquet(f"{path}/newest/slot={batch_id % 2}")
+
+    return add
+
+
+def drift_stream(snapshots: DataFrame, path: str, checkpoint: str) -> None:
+    """Add everything that is available to the log at ``path``, then stop."""
+    query = (
+        snapshots.writeStream.foreachBatch(_add_batch(path))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    query.awaitTermination()
 
 
-def drift_stream(snapshots: DataFrame) -> DataFrame:
-    """Detected changes of a stream, the same rows the batch comparison gives."""
-    return drift.explode_changes(pair_stream(snapshots).filter(~F.col("stale")))
-
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_PAIRS).parquet(f"{path}/pairs")
 
-def stale_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Snapshots dropped because a newer one was already held."""
-    return pair_stream(snapshots).filter("stale").select(*drift.KEY, "captured_at")
 
+def read_changes(spark: SparkSession, path: str, *carried: str) -> DataFrame:
+    """The changes of all snapshots in the log, those the batch comparison of them gives.
 
-def run_to_files(changes: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything that is available, then stop."""
-    query = (
-        changes.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    Tables without a late snapshot are read as they were paired, the others paired anew.
+    ``carried`` may name ``batch``, the first that brought the snapshot.
+    """
+    log = _log(spark, path)
+    disturbed = log.filter("late").select(*drift.KEY).distinct()
+    calm = log.join(disturbed, list(drift.KEY), "left_anti").drop("late")
+    again = log.join(disturbed, list(drift.KEY), "left_semi")
+    settled = drift.consecutive_pairs(_one_per_time(again, F.min("batch").alias("batch")))
+    return drift.explode_changes(calm.unionByName(settled), *carried)
 
 
-def _log_batch(path: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        entries = log_entries(batch).withColumn("batch", F.lit(batch_id).cast("long"))
-        target = f"{path}/batch={batch_id}"
-        # A repeated batch replaces its own folder, so each change is logged once.
-        entries.drop("batch").write.mode("overwrite").option("ignoreNullFields", False).json(target)
+def late_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots that came when one of their table as new or newer was already held."""
+    return _log(spark, path).filter("late").select(*_AT, "batch")
 
-    return write
 
+def outcome_stream(snapshots: DataFrame, path: str, checkpoint: str) -> None:
+    """Take in what is available; log every detected change with whether it triggers an assessment.
 
-def outcome_stream(changes: DataFrame, path: str, checkpoint: str) -> None:
-    """Log every detected change with whether it triggers an assessment."""
-    query = (
-        changes.writeStream.foreachBatch(_log_batch(path)).outputMode("append")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    The log of outcomes, at ``path``/outcomes, is written from the settled changes, so a
+    late snapshot corrects the entries it bears on.
+    """
+    spark = snapshots.sparkSession
+    drift_stream(snapshots, path, checkpoint)
+    entries = stage(log_entries(read_changes(spark, path, "batch")), "outcomes")
+    entries.write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/outcomes")

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from faultline.functions import text
 from faultline.operators import patch, verify
 from faultline.sources import files
 
@@ -85,3 +86,28 @@ def test_outcome_precedence(spark):
     residue = spark.createDataFrame([("b",), ("b",), ("c",)], "change_id string")
     got = {r.change_id: (r.outcome, r.residue_lines) for r in verify.outcome_record(verified, verdicts, residue).collect()}
     assert got == {"a": ("SUCCEEDED", 0), "b": ("PARTIAL", 2), "c": ("FAILED", 1), "d": ("FAILED", 0)}
+
+
+def cleaned(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    return [r.t for r in df.select("i", text.without_comments(F.col("t")).alias("t")).orderBy("i").collect()]
+
+
+def test_comments_of_any_length_are_removed(spark):
+    long = "select a /*\n" + " * one more line, it's long\n" * 50_000 + " */ from t"
+    got = cleaned(spark, long, "select a -- '\nfrom t", "/**/x/***/y", "a /* never closed")
+    assert [" ".join(g.split()) for g in got] == ["select a from t", "select a from t", "x y", "a /* never closed"]
+
+
+def test_what_looks_like_a_comment_in_a_literal_stays(spark):
+    got = cleaned(spark, "select '--', '/*' as x from t -- 'gone", "select 'it''s' /* '--' */ from t where a = '*/'")
+    assert [" ".join(g.split()) for g in got] == ["select '--' , '/*' as x from t", "select 'it' 's' from t where a = '*/'"]
+
+
+@pytest.mark.parametrize("call, resolved", [
+    ("{{ ref('a_b') }}", '"a_b"'), ('{{- ref( "a" ) -}}', '"a"'), ("{{ref('pkg', 'm')}}", '"m"'), ("{{ ref('m', v=2) }}", '"m"'),
+    ("{{ source('s', \"t\") }}", '"s"."t"'), ("{{ ref('a\") }}", "{{ ref('a\") }}"), ("{{ refs('a') }}", "{{ refs('a') }}"),
+])
+def test_template_calls(spark, call, resolved):
+    df = spark.createDataFrame([(call,)], "t string")
+    assert df.select(text.resolve_template(F.col("t"))).first()[0] == resolved

@@ -2,6 +2,7 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from faultline.operators import drift
@@ -53,29 +54,64 @@ def write(df, path):
     df.coalesce(1).write.mode("append").json(str(path))
 
 
-def test_stream_pairs_inside_a_batch_survives_a_restart_and_drops_stale_rows(spark, tmp_path):
+def test_stream_pairs_inside_a_batch_survives_a_restart_and_keeps_late_rows(spark, tmp_path):
     source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     first = [("public", "t", A, 3), ("public", "t", B, 5), ("public", "u", A, 1), ("public", "t", A, 4)]
     write(snapshots(spark, first), source)
 
     def run():
-        stream.run_to_files(stream.drift_stream(stream.snapshot_stream(spark, str(source))), out, state)
-        rows = spark.read.parquet(out).orderBy("captured_at", "seq").collect()
+        stream.drift_stream(stream.snapshot_stream(spark, str(source)), out, state)
+        rows = stream.read_changes(spark, out).orderBy("captured_at", "seq").collect()
         return [(r.table_name, r.captured_at.day, r.old_column, r.new_column) for r in rows]
 
     assert run() == [("t", 5, "b", "c")]
     write(snapshots(spark, [("public", "t", A, 2), ("public", "t", A, 6)]), source)
     assert run() == [("t", 5, "b", "c"), ("t", 6, "c", "b")]
-    stale, stale_state = str(tmp_path / "stale"), str(tmp_path / "stale_state")
-    rows = stream.stale_snapshots(stream.snapshot_stream(spark, str(source)))
-    stream.run_to_files(rows, stale, stale_state)
-    assert spark.read.parquet(stale).count() == 1
-
-
-def test_a_repeated_batch_is_logged_once(spark, tmp_path):
-    history = snapshots(spark, [("public", "t", A, 1), ("public", "t", B, 2)])
-    changes = drift.history_diff(history)
-    log = stream._log_batch(str(tmp_path / "log"))
-    log(changes, 0), log(changes, 0), log(changes.withColumn("seq", F.col("seq") + 1), 1)
-    rows = files.read_outcomes(spark, str(tmp_path / "log")).collect()
-    assert [(r.batch, r.pipeline_triggered) for r in rows] == [(0, True), (1, True)]
+    # A late one between two held ones changes what the later of them is compared with.
+    write(snapshots(spark, [("public", "t", [("a", "int"), ("d", "int")], 4)]), source)
+    write(snapshots(spark, [("public", "t", B, 2)]), source)
+    # Day 2 holds a, b and c; 3 drops c; 4 adds d; 5 drops b and d and adds c; 6 has b for c.
+    assert [d for _, d, _, _ in run()] == [3, 4, 5, 5, 5, 6]
+    assert {(r.captured_at.day, r.batch) for r in stream.late_snapshots(spark, out).collect()} == {(2, 1), (2, 2), (4, 2)}
+
+
+@pytest.mark.parametrize("n_files, per_batch", [(1, None), (12, 5), (200, 70)])
+def test_files_in_any_order_give_the_changes_of_the_history(spark, tmp_path, n_files, per_batch):
+    variants = [A, B, A[:1], [*A, ("d", "int")]]
+    rows = [("public", f"t{k % 23}", variants[(k * 7 // 3) % 4], 1 + k // 23) for k in range(23 * 28)]
+    history = snapshots(spark, rows)
+    source = str(tmp_path / "in")
+    history.repartition(n_files, F.rand(3)).write.json(source)
+    out = str(tmp_path / "out")
+    stream.drift_stream(stream.snapshot_stream(spark, source, files_per_batch=per_batch), out, str(tmp_path / "state"))
+    found = stream.read_changes(spark, out).collect()
+    assert len(found) > 400 and sorted(map(repr, found)) == sorted(map(repr, drift.history_diff(history).collect()))
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    add = stream._add_batch(str(tmp_path / "log"))
+    one, two = snapshots(spark, [("public", "t", A, 1)]), snapshots(spark, [("public", "t", B, 2)])
+    add(one, 0), add(one, 0), add(two, 1), add(two, 1)
+    rows = stream.read_changes(spark, str(tmp_path / "log"), "batch").collect()
+    assert [(r.batch, r.old_column, r.new_column) for r in rows] == [(1, "b", "c")]
+
+
+def test_outcomes_follow_the_settled_changes(spark, tmp_path):
+    source, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for rows in ([("public", "t", A, 1), ("public", "t", B, 3)], [("public", "t", A[:1], 2)]):
+        write(snapshots(spark, rows), source)
+        stream.outcome_stream(stream.snapshot_stream(spark, source), out, state)
+    found = files.read_outcomes(spark, f"{out}/outcomes").collect()
+    assert [(r.batch, r.captured_at.day, r.change_type, r.pipeline_triggered) for r in found] == [
+        (0, 3, "add_column", False), (1, 2, "drop_column", False)]
+
+
+def test_a_name_listed_twice_has_the_first_of_its_types(spark):
+    twice = [("a", "int"), ("a", "bigint"), ("b", "int")]
+    history = snapshots(spark, [("public", "t", twice, 1), ("public", "t", [("a", "text"), ("a", "date")], 2)])
+    assert [(r.column_name, r.old_type, r.new_type) for r in drift.type_changes(history).collect()] == [("a", "bigint", "date")]
+
+
+def test_only_a_missing_path_is_an_empty_log(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        files.read_outcomes(spark, str(tmp_path), "batch BIGINT, seq BIGINT, seq BIGINT")
