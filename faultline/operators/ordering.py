@@ -12,23 +12,6 @@ from faultline.session import stage
 _PART = "_part"
 
 
-def number_by_id(df: DataFrame, id_column: str, out: str, width: int = 1 << 20) -> DataFrame:
-    """Dense 1-based number in the order of a unique integer column.
-
-    Ids are cut into ranges of ``width`` values, so no range holds more than
-    ``width`` rows whatever the distribution. Only one count per range, not the
-    rows, goes through the window that turns counts into offsets.
-    """
-    slot = F.floor(F.col(id_column) / width)
-    rows = df.withColumn(_PART, slot)
-    counts = rows.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PART, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(_PART).orderBy(id_column)
-    numbered = rows.withColumn("_rn", F.row_number().over(inside)).join(offsets, _PART)
-    return numbered.withColumn(out, F.col("_rn") + F.col("_offset")).drop(_PART, "_rn", "_offset")
-
-
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """``df`` cut into ranges of keys *and* order, with the number of each row's range.
 
@@ -47,7 +30,9 @@ def number_within(
 ) -> DataFrame:
     """1-based row number per ``keys`` in ``order``, with hot keys split.
 
-    ``order`` must be total within a key.
+    ``order`` must be total within a key. Without keys the whole table is numbered:
+    ranges follow the values there are, so sparse ones are as good as dense ones, and
+    only one count per range goes through the window that turns counts into offsets.
     """
     rows = _ranged(df, keys, order)
     counts = rows.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("_n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators.ordering import number_by_id
+from faultline.operators.ordering import number_within
 
 
 def stg_customers(raw_customers: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def derive_payments(orders: DataFrame, method: Column) -> DataFrame:
     paid = orders.filter(F.col("status") != "cancelled").select(
         "order_id", method.alias("payment_method"), "amount", F.col("order_date").alias("payment_date")
     )
-    return number_by_id(paid, "order_id", "payment_id").select(
+    return number_within(paid, [], [F.col("order_id")], "payment_id").select(
         F.col("payment_id").cast("long").alias("payment_id"),
         "order_id", "payment_method", "amount", "payment_date",
     )

@@ -29,8 +29,8 @@ def test_revenue_drops_cancelled_null_status_and_unknown_customers(spark):
 
 
 def test_numbering_is_dense_whatever_the_gaps(spark):
-    ids = spark.createDataFrame([(i * i * 7,) for i in range(500)], "k long")
-    rows = ordering.number_by_id(ids, "k", "n", width=64).orderBy("k").collect()
+    ids = spark.createDataFrame([(i * i * i * 70_000_007,) for i in range(500)], "k long")
+    rows = ordering.number_within(ids, [], [F.col("k")], "n").orderBy("k").collect()
     assert [r.n for r in rows] == list(range(1, 501))
 
 
