@@ -92,6 +92,18 @@ def downstream_reach(i):
     return graph.downstream_reach(i.changes, graph.cluster_edges(i.edges))
 
 
+@query("downstream_reach_unbounded", """
+SELECT * FROM (WITH RECURSIVE walk AS (
+    SELECT change_id, node, 0 AS hop FROM fx_changes
+    UNION
+    SELECT w.change_id, e.dst, w.hop + 1 FROM walk w JOIN fx_edges e ON e.src = w.node WHERE w.hop < 30
+)
+SELECT w.change_id, w.node, CAST(min(w.hop) AS BIGINT) AS hop FROM walk w
+JOIN fx_changes c USING (change_id) WHERE w.hop > 0 AND w.node <> c.node GROUP BY ALL)""")
+def downstream_reach_unbounded(i):
+    return graph.downstream_reach(i.changes, i.edges, max_hops=None)
+
+
 @query("downstream_reach_jobs", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
 def downstream_reach_jobs(i):
     """The same search with supplier edges given as jobs instead of edges."""

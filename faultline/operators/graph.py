@@ -1,4 +1,4 @@
-"""Bounded reachability over lineage edges for any number of starting points.
+"""Reachability over lineage edges for any number of starting points.
 
 A search keeps rows of (search, node) and advances all searches one hop per job.
 Each frontier is made distinct and written to the shared folder before the next
@@ -6,7 +6,9 @@ hop, which bounds the lineage and gives Catalyst the frontier's real size: small
 frontiers are broadcast to the edges, larger ones meet them in a sort-merge join,
 where AQE splits the partitions of hub nodes. A node reached again at a later hop
 is kept until the end, where the fewest hops win: at most one row per hop, and no
-join against everything seen so far.
+join against everything seen so far. Without a bound on hops (``max_hops=None``) a
+search goes on until nothing new is reached; what was seen is then taken out of each
+frontier, so cycles end.
 """
 
 from __future__ import annotations
@@ -35,27 +37,36 @@ def _layers(
     edges: DataFrame,
     search: Sequence[str],
     position: Sequence[str],
-    max_hops: int,
+    max_hops: int | None,
     jobs: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Rows (search, position, hop) for every hop at which a position is reached.
 
     ``edges`` has a ``src_`` and a ``dst_`` column per position column. The last
-    frontier stays lazy and may repeat rows; callers aggregate the layers.
+    frontier of a bounded search stays lazy and may repeat rows; callers aggregate the
+    layers.
     """
-    frontier = seeds.select(*search, *position)
-    layers = [frontier.limit(0).withColumn("hop", F.lit(0))] if max_hops < 1 else []
-    for hop in range(1, max_hops + 1):
+    state = [*search, *position]
+    frontier = seeds.select(*state)
+    seen = frontier
+    layers = [frontier.limit(0).withColumn("hop", F.lit(0))] if max_hops is not None and max_hops < 1 else []
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         moved = _advance(frontier, edges, search, position)
         if jobs is not None:
             moved = moved.unionByName(_through_jobs(frontier, jobs, search))
+        if max_hops is None:
+            moved = moved.join(seen, state, "left_anti")
         frontier = moved
-        if hop < max_hops:
+        if hop != max_hops:
             size = Observation()
             frontier = stage(moved.distinct().observe(size, F.count(F.lit(1)).alias("rows")), "frontier")
         layers.append(frontier.withColumn("hop", F.lit(hop)))
-        if hop < max_hops and size.get["rows"] == 0:
+        if hop != max_hops and size.get["rows"] == 0:
             break
+        if max_hops is None:
+            seen = seen.unionByName(frontier)
     return reduce(DataFrame.unionByName, layers)
 
 
@@ -64,7 +75,7 @@ def _search(
     edges: DataFrame,
     search: Sequence[str],
     position: Sequence[str],
-    max_hops: int,
+    max_hops: int | None,
     jobs: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Rows (search, position, hop) with the fewest hops, seeds left out."""
@@ -98,7 +109,7 @@ def _node_edges(edges: DataFrame) -> DataFrame:
 def downstream_reach(
     seeds: DataFrame,
     edges: DataFrame,
-    max_hops: int = DEFAULT_HOPS,
+    max_hops: int | None = DEFAULT_HOPS,
     search: Sequence[str] = ("change_id",),
     jobs: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
@@ -113,7 +124,7 @@ def downstream_reach(
 def upstream_reach(
     seeds: DataFrame,
     edges: DataFrame,
-    max_hops: int = DEFAULT_HOPS,
+    max_hops: int | None = DEFAULT_HOPS,
     search: Sequence[str] = ("dashboard",),
     jobs: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
@@ -123,7 +134,7 @@ def upstream_reach(
 
 
 def column_reach(
-    seeds: DataFrame, column_edges: DataFrame, max_hops: int = DEFAULT_HOPS, search: Sequence[str] = ("change_id",)
+    seeds: DataFrame, column_edges: DataFrame, max_hops: int | None = DEFAULT_HOPS, search: Sequence[str] = ("change_id",)
 ) -> DataFrame:
     """Nodes that carry the changed column on, under whatever name it has there."""
     edges = column_edges.select(
@@ -136,7 +147,7 @@ def column_reach(
 
 
 def impact_reach(
-    changes: DataFrame, edges: DataFrame, column_edges: DataFrame, max_hops: int = DEFAULT_HOPS
+    changes: DataFrame, edges: DataFrame, column_edges: DataFrame, max_hops: int | None = DEFAULT_HOPS
 ) -> DataFrame:
     """Both searches of an assessment at once: everything downstream, and which of it
     carries the changed column.

@@ -35,6 +35,14 @@ def test_reach_equals_brute_force_on_cyclic_graphs(spark):
     s, e = frames(spark, seeds, edges)
     for hops in (1, 3, 5):
         assert as_dict(graph.downstream_reach(s, e, hops)) == brute(seeds, edges, hops)
+    assert as_dict(graph.downstream_reach(s, e, None)) == brute(seeds, edges, len(nodes))
+
+
+def test_unbounded_search_reaches_the_end_of_a_chain_with_a_cycle(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n12", "n4"), ("n0", "n7")]
+    s, e = frames(spark, [("c", "n0")], edges)
+    found = as_dict(graph.downstream_reach(s, e, None))
+    assert found == brute([("c", "n0")], edges, 20) and found["c", "n12"] == 6 and found["c", "n6"] == 6
 
 
 def test_jobs_reach_what_their_edges_reach(spark):
