@@ -28,7 +28,11 @@ def decided(i):
 # --- classification ------------------------------------------------------------
 
 
-@query("assess_changes", f"SELECT {ROW} FROM assessed", e.ASSESSMENT)
+# Ordered at the end: the other engine never returns from a LIMIT put around these joins alone.
+ASSESSED = f"SELECT {ROW} FROM assessed ORDER BY change_id, node"
+
+
+@query("assess_changes", ASSESSED, e.ASSESSMENT)
 def assess_changes(i):
     return assessed(i).select(*ROW.split(", "))
 
@@ -44,12 +48,13 @@ def break_mode(i):
     return assessed(i).groupBy("break_mode", "compile_status", "select_star_exposure").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("affected_assets", "SELECT change_id, node, break_mode FROM assessed WHERE break_mode <> 'UNAFFECTED'", e.ASSESSMENT)
+@query("affected_assets", "SELECT change_id, node, break_mode FROM assessed WHERE break_mode <> 'UNAFFECTED' "
+       "ORDER BY change_id, node", e.ASSESSMENT)
 def affected_assets(i):
     return classify.affected(assessed(i)).select("change_id", "node", "break_mode")
 
 
-@query("assessment_export", f"SELECT {ROW} FROM assessed", e.ASSESSMENT)
+@query("assessment_export", ASSESSED, e.ASSESSMENT)
 def assessment_export(i):
     rich = e.estate(i)
     rows = stage(plan.assess(rich), "assessment").select(*ROW.split(", "))
@@ -282,7 +287,7 @@ NARRATIVE = """
          CASE WHEN usage_count > 0 THEN usage_count || CASE WHEN usage_count = 1 THEN ' recorded query' ELSE ' recorded queries' END END)
          || '.' ELSE '' END
  || CASE WHEN evidence <> '' THEN ' Evidence: ' || evidence || '.' ELSE '' END"""
-NARRATIVES = f"SELECT change_id, node, break_mode, {NARRATIVE} AS narrative FROM assessed WHERE break_mode <> 'UNAFFECTED'"
+NARRATIVES = f"SELECT change_id, node, break_mode, {NARRATIVE} AS narrative FROM assessed WHERE break_mode <> 'UNAFFECTED' ORDER BY change_id, node"
 SAFE = """SELECT change_id, chunk, string_agg(node, ', ' ORDER BY node) AS names FROM (
     SELECT change_id, node, (row_number() OVER (PARTITION BY change_id ORDER BY node) - 1) // 1000 AS chunk
     FROM assessed WHERE break_mode = 'UNAFFECTED') s GROUP BY ALL"""

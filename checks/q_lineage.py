@@ -131,7 +131,7 @@ def dashboard_exposure(i):
 
 
 @query("exclude_root", "SELECT change_id, node, hop FROM broad_all UNION ALL SELECT change_id, dst, 9 FROM fx_changes "
-       "JOIN fx_edges ON node = src WHERE kind = 'model'", e.BROAD)
+       "JOIN fx_edges ON node = src WHERE kind = 'model' ORDER BY change_id, node, hop", e.BROAD)
 def exclude_root(i):
     reach = graph.downstream_reach(i.changes, i.edges)
     back = i.changes.join(i.edges.filter("kind = 'model'"), F.col("node") == F.col("src")).select(
