@@ -249,8 +249,12 @@ SELECT {_key("part", "p_partkey")} AS model,
        CASE WHEN p_brand = 'Brand#7' THEN '{{{{ config(materialized=''table'') }}}}' || chr(10) ELSE '' END
        || '-- cust_id of ' || p_name || chr(10)
        || CASE WHEN p_brand = 'Brand#9' THEN '/* joins raw.from_notes' || chr(10) || 'p.* */' || chr(10) ELSE '' END
+       || CASE WHEN p_brand = 'Brand#8' THEN 'with q(a) as (select x.part_id from {{{{ ref(''part_' || CAST(p_partkey + p_size AS STRING)
+            || ''') }}}} as x where x.part_id is distinct from 0)' || chr(10) ELSE '' END
        || CASE WHEN p_size = 50 THEN 'select *' ELSE 'select' || chr(10) || '    p.part_id,'
           || CASE WHEN p_size <= 10 THEN chr(10) || '    p.*,' WHEN p_size <= 20 THEN chr(10) || '    count(*) as n_rows,' ELSE '' END
+          || CASE WHEN p_brand = 'Brand#5' THEN chr(10) || '    s.part_id as other, *,' ELSE '' END
+          || CASE WHEN p_brand = 'Brand#6' THEN chr(10) || '    extract(year from p.part_date) * 2 as part_year,' ELSE '' END
           || CASE WHEN p_size = 33 THEN chr(10) || '    coalesce(p.part_name, 0,' ELSE '' END END
        || chr(10)
        || CASE p_type WHEN 'ECONOMY' THEN '    cust_id,' || chr(10)
@@ -258,9 +262,12 @@ SELECT {_key("part", "p_partkey")} AS model,
                       WHEN 'MEDIUM' THEN '    cust_id as customer_key,' || chr(10)
                       WHEN 'STANDARD' THEN '    CUST_ID,' || chr(10) ELSE '' END
        || CASE WHEN p_size = 50 THEN '' ELSE '    p.part_name' || chr(10) END
-       || 'from {{{{ source(''raw'', ''raw_parts_' || CAST(p_size AS STRING) || ''') }}}} as p' || chr(10)
-       || 'inner join {{{{ ref(''part_' || CAST(p_partkey + p_size AS STRING) || ''') }}}} as s' || chr(10)
-       || CASE WHEN p_type = 'PROMO' THEN '    on p.cust_id = s.cust_id' ELSE '    on p.part_id = s.part_id' END
+       || 'from {{{{ source(''raw'', ''raw_parts_' || CAST(p_size AS STRING) || ''') }}}} as p'
+       || CASE WHEN p_brand = 'Brand#8' THEN ' cross join q' WHEN p_brand = 'Brand#4' THEN ',' ELSE '' END || chr(10)
+       || CASE WHEN p_brand = 'Brand#4' THEN '    ' ELSE 'inner join ' END
+       || '{{{{ ref(''part_' || CAST(p_partkey + p_size AS STRING) || ''') }}}} as s' || chr(10)
+       || CASE WHEN p_brand = 'Brand#4' THEN 'where' ELSE '    on' END
+       || CASE WHEN p_type = 'PROMO' THEN ' p.cust_id = s.cust_id' ELSE ' p.part_id = s.part_id' END
        || chr(10) AS source_text
 FROM part
 """.replace("{{{{", "{{").replace("}}}}", "}}")

@@ -39,22 +39,28 @@ def template_resolve(i):
     return i.corpus.select("path", text.resolve_template(F.col("source_text")).alias("resolved"))
 
 
-@query("table_refs", f"""
-SELECT DISTINCT path, lower(split_part(name, '"', 2)) AS schema_name, lower(split_part(name, '"', 4)) AS table_name FROM (
-    SELECT path, unnest(regexp_extract_all({CLEAN.format(t='compiled_text')}, '(?i)\\b(from|join)\\s+("[^"]+"\\."[^"]+")', 2)) AS name
-    FROM compiled WHERE compiled_text IS NOT NULL) n""", COMPILED)
+# What the texts of the parts read and expand, as the parts themselves say; red parts are not compiled,
+# and parts of size 33 leave a parenthesis open before their FROM, so only what a WITH reads is found.
+READ = """
+SELECT path, schema_name, table_name FROM (
+    SELECT 'models/parts/part_' || p_partkey || '.sql' AS path, p_size, p_brand, unnest(['raw', 'public']) AS schema_name,
+           unnest(['raw_parts_' || p_size, 'part_' || (p_partkey + p_size)]) AS table_name
+    FROM part WHERE NOT starts_with(p_name, 'red ')) r
+WHERE p_size <> 33 OR (p_brand = 'Brand#8' AND schema_name = 'public')"""
+STARS = """
+SELECT path, unnest(found) AS alias FROM (
+    SELECT 'models/parts/part_' || p_partkey || '.sql' AS path,
+           CASE WHEN p_size = 50 THEN [CAST(NULL AS VARCHAR)] ELSE list_concat(CASE WHEN p_size <= 10 THEN ['p'] ELSE [] END,
+                CASE WHEN p_brand = 'Brand#5' THEN [CAST(NULL AS VARCHAR)] ELSE [] END) END AS found
+    FROM part WHERE NOT starts_with(p_name, 'red ')) f"""
+
+
+@query("table_refs", READ)
 def table_refs(i):
     return classify.table_refs(corpus(i).filter(F.col("compiled_text").isNotNull()))
 
 
-STARS = f"""
-SELECT path, unnest(list_concat(
-    list_transform(regexp_extract_all({CLEAN.format(t='compiled_text')}, '([a-z]+)\\.\\*', 1), lambda x: x),
-    list_transform(regexp_extract_all({CLEAN.format(t='compiled_text')}, '(?i)\\bselect\\s+\\*'), lambda x: CAST(NULL AS VARCHAR)))) AS alias
-FROM compiled WHERE compiled_text IS NOT NULL"""
-
-
-@query("star_aliases", STARS, COMPILED)
+@query("star_aliases", STARS)
 def star_aliases(i):
     return classify.star_aliases(corpus(i).filter(F.col("compiled_text").isNotNull())).select("path", "alias")
 
@@ -65,8 +71,8 @@ SELECT c.path, compiled_text IS NOT NULL AS is_readable, compiled_text IS NOT NU
             WHEN s.path IS NULL THEN '' ELSE l.lines END AS star_evidence
 FROM compiled c LEFT JOIN (SELECT DISTINCT path FROM ({STARS}) a) s ON s.path = c.path
 LEFT JOIN (SELECT path, string_agg(path || ':' || number || ': ' || trim(line), '; ' ORDER BY number) AS lines FROM source_lines
-           WHERE NOT starts_with(trim(line), '--') AND ((regexp_matches(line, '\\bp\\.\\*') AND path IN (SELECT path FROM ({STARS}) a WHERE alias = 'p'))
-                OR (regexp_matches(line, '(?i)select\\s+\\*') AND path IN (SELECT path FROM ({STARS}) a WHERE alias IS NULL)))
+           WHERE (line = '    p.*,' AND path IN (SELECT path FROM ({STARS}) a WHERE alias = 'p'))
+              OR (line IN ('select *', '    s.part_id as other, *,') AND path IN (SELECT path FROM ({STARS}) a WHERE alias IS NULL))
            GROUP BY path) l ON l.path = c.path""", {**COMPILED, **SOURCE_LINES})
 def star_exposure(i):
     return classify.star_exposure(corpus(i))
@@ -124,9 +130,10 @@ CHECKED = {
     "static": f"""
         SELECT path, model, p_brand, CASE WHEN contains(source_text, 'config(') THEN 'unresolved template call'
              WHEN contains(source_text, 'coalesce(') THEN 'unbalanced parentheses: ' ||
-                  (length({CLEAN.format(t='source_text')}) - length(replace({CLEAN.format(t='source_text')}, '(', '')) - 2) || ' opened, ' ||
-                  (length({CLEAN.format(t='source_text')}) - length(replace({CLEAN.format(t='source_text')}, ')', '')) - 2) || ' closed' END AS raw_error
-        FROM fx_corpus JOIN part ON model = 'part_' || CAST(p_partkey AS STRING)""",
+                  (length({CLEAN.format(t='source_text')}) - length(replace({CLEAN.format(t='source_text')}, '(', '')) - calls) || ' opened, ' ||
+                  (length({CLEAN.format(t='source_text')}) - length(replace({CLEAN.format(t='source_text')}, ')', '')) - calls) || ' closed' END AS raw_error
+        FROM (SELECT *, CASE WHEN p_brand = 'Brand#8' THEN 3 ELSE 2 END AS calls
+              FROM fx_corpus JOIN part ON model = 'part_' || CAST(p_partkey AS STRING)) c""",
     "uses": f"""
         SELECT path, 'part_' || CAST(p_partkey + p_size AS STRING) AS name, '' AS source_name FROM static JOIN part ON model = 'part_' || CAST(p_partkey AS STRING)
         UNION ALL

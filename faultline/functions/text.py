@@ -35,15 +35,33 @@ def word(column: Column, ignore_case: bool = False) -> Column:
     return F.concat(F.lit(flags + r"\b\Q"), F.replace(column, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
 
 
-def matching_lines(text: Column, label: Column, pattern: Column) -> Column:
-    """``label:number: line`` for each line that matches and is not a comment."""
-    numbered = F.transform(lines(text), lambda line, i: F.struct(line.alias("line"), (i + 1).alias("number")))
-    hits = F.filter(numbered, lambda x: ~is_comment(x["line"]) & F.rlike(x["line"], pattern))
+def matching_lines(text: Column, label: Column, pattern: Column, searched: Column | None = None) -> Column:
+    """``label:number: line`` for each line that matches and is not a comment.
+
+    ``searched`` may be another form of the text with the same lines to look for the pattern in.
+    """
+    both = F.arrays_zip(lines(text).alias("line"), lines(text if searched is None else searched).alias("searched"))
+    numbered = F.transform(
+        both, lambda x, i: F.struct(x["line"].alias("line"), x["searched"].alias("searched"), (i + 1).alias("number"))
+    )
+    hits = F.filter(numbered, lambda x: ~is_comment(x["line"]) & F.rlike(x["searched"], pattern))
     return F.transform(
         hits, lambda x: F.concat(label, F.lit(":"), x["number"].cast("string"), F.lit(": "), strip(x["line"]))
     )
 
 
+def blank_comments(text: Column) -> Column:
+    """The text with its comments emptied and every line where it was; literals stay."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)'[^']*'|/\*.*?\*/|--[^\n]*|[^'/-]+|."), 0)
+    blank = F.transform(
+        pieces,
+        lambda p: F.when(F.startswith(p, F.lit("--")), "")
+        .when(F.startswith(p, F.lit("/*")), F.regexp_replace(p, r"[^\n]", ""))
+        .otherwise(p),
+    )
+    return F.array_join(blank, "")
+
+
 def without_comments(text: Column) -> Column:
     """Block comments and the rest of a line after ``--`` removed, but not inside a literal.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.functions import text
+from faultline.functions import clauses, text
 
 # The statuses and modes of an assessment row.
 ORIGIN, CASCADE, NOT_IMPACTED = "ORIGIN_HARD_BREAK", "CASCADE_HARD_BREAK", "NOT_IMPACTED"
@@ -13,47 +13,29 @@ HARD_BREAK, SILENT_CORRUPTION, UNAFFECTED = "HARD_BREAK", "SILENT_CORRUPTION", "
 # Named by the specification without a rule, so no row is ever given it.
 DEGRADED = "DEGRADED"
 
-_NAME = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_$]*)'
-_READS = rf"(?i)\b(?:from|join)\s+({_NAME}(?:\s*\.\s*{_NAME})*)"
-_CTE = rf"(?i)(?:\bwith\s+(?:recursive\s+)?|\)\s*,\s*)({_NAME})\s+as\s*\("
-_QUALIFIED_STAR = rf"({_NAME})\s*\.\s*\*"
-_BARE_STAR = r"(?i)\bselect\s+(?:distinct\s+)?(\*)"
-
-
-def _segment(name: Column, position: int) -> Column:
-    """A dot segment counted from the end, without quotes, lower-case; null if absent."""
-    parts = F.split(F.regexp_replace(name, r"\s", ""), r"\.")
-    part = F.get(parts, F.size(parts) - position)
-    return F.lower(F.btrim(part, F.lit('"')))
-
 
 def table_refs(compiled: DataFrame) -> DataFrame:
     """(path, schema_name, table_name) of each table a compiled model reads.
 
-    Names after FROM and JOIN, comments removed; names defined by the model's
-    own WITH are not tables. Unqualified tables have an empty schema.
+    Names in FROM clauses, lists and joins included, at any depth; names defined by the
+    model's own WITH are not tables, nor are functions. Unqualified tables have an empty
+    schema.
     """
-    clean = compiled.select("path", text.without_comments(F.col("compiled_text")).alias("sql"))
-    names = clean.select(
-        "path",
-        # An outer explode: the inner one would repeat the patterns in a pushed-down filter.
-        F.explode_outer(F.array_distinct(F.regexp_extract_all("sql", F.lit(_READS), 1))).alias("name"),
-        F.transform(
-            F.regexp_extract_all("sql", F.lit(_CTE), 1), lambda n: F.lower(F.btrim(n, F.lit('"')))
-        ).alias("own"),
-    ).filter(F.col("name").isNotNull()).select("path", "own", _segment(F.col("name"), 1).alias("table_name"),
-             F.coalesce(_segment(F.col("name"), 2), F.lit("")).alias("schema_name"))
+    scanned = compiled.select("path", clauses.scan(text.without_comments(F.col("compiled_text"))).alias("found"))
+    # An outer explode: the inner one would repeat the fold in a pushed-down filter.
+    names = scanned.select(
+        "path", F.col("found.own").alias("own"), F.explode_outer(F.array_distinct("found.refs")).alias("name")
+    ).filter(F.col("name").isNotNull()).select(
+        "path", "own", clauses.segment(F.col("name"), 1).alias("table_name"),
+        F.coalesce(clauses.segment(F.col("name"), 2), F.lit("")).alias("schema_name"),
+    )
     foreign = (F.col("schema_name") != "") | ~F.array_contains("own", F.col("table_name"))
     return names.filter(foreign).select("path", "schema_name", "table_name").distinct()
 
 
 def _stars(sql: Column) -> Column:
     """Array of aliases, one per star; an empty string stands for a bare star."""
-    qualified = F.transform(
-        F.regexp_extract_all(sql, F.lit(_QUALIFIED_STAR), 1), lambda a: F.btrim(a, F.lit('"'))
-    )
-    bare = F.transform(F.regexp_extract_all(sql, F.lit(_BARE_STAR), 1), lambda _: F.lit(""))
-    return F.concat(qualified, bare)
+    return clauses.scan(sql)["stars"]
 
 
 def star_aliases(compiled: DataFrame) -> DataFrame:
@@ -63,15 +45,21 @@ def star_aliases(compiled: DataFrame) -> DataFrame:
     return stars.filter(F.col("position").isNotNull()).select("path", "position", F.nullif("alias", F.lit("")).alias("alias"))
 
 
+# A bare star at the start of a select item, and not the sign of a product.
+_BARE_STAR = (
+    r"(?i)(?:^\s*|,\s*|\b(?:select|distinct|all)\s+|\bon\s*\([^)]*\)\s*)\*\s*(?:$|,|(?:from|except|exclude|replace)\b)"
+)
+
+
 def _star_evidence(source: Column, path: Column, aliases: Column) -> Column:
-    """Source lines that hold one of the stars, each once."""
+    """Source lines that hold one of the stars outside comments, each once."""
     patterns = F.transform(
         F.array_distinct(aliases),
-        lambda a: F.when(a == "", F.lit(r"(?i)select\s+\*")).otherwise(
-            F.concat(F.lit(r"\b\Q"), a, F.lit(r"\E\.\*"))
+        lambda a: F.when(a == "", F.lit(_BARE_STAR)).otherwise(
+            F.concat(F.lit(r"\b\Q"), F.replace(a, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r'\E["`]?\s*\.\s*\*'))
         ),
     )
-    found = F.flatten(F.transform(patterns, lambda p: text.matching_lines(source, path, p)))
+    found = F.flatten(F.transform(patterns, lambda p: text.matching_lines(source, path, p, text.blank_comments(source))))
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 

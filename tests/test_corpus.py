@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import text
-from faultline.operators import patch, verify
+from faultline.operators import classify, patch, verify
 from faultline.sources import files
 
 STG = "-- Explicit cust_id reference\nselect\n    cust_id,\n    email\nfrom {{ source('raw', 'raw_customers') }}\n"
@@ -111,3 +111,37 @@ def test_what_looks_like_a_comment_in_a_literal_stays(spark):
 def test_template_calls(spark, call, resolved):
     df = spark.createDataFrame([(call,)], "t string")
     assert df.select(text.resolve_template(F.col("t"))).first()[0] == resolved
+
+
+@pytest.mark.parametrize("sql, read, stars", [
+    ("select o.id, * from s.t1 a, s.t2 b", ["s.t1", "s.t2"], [None]),
+    ("select extract(year from o.d), trim(both 'x' from o.e) from o", ["o"], []),
+    ("with q(a) as (select 1 from base), r as materialized (select q.* from q) select * from r, Other", ["base", "other"], ["q", None]),
+    ("with recursive r as (select 1 union all select n + 1 from r join w on true) select r.* from r", ["w"], ["r"]),
+    ("select distinct on (a, b) * from x.y left join lateral (select t.* from deep t) d on true, last", ["deep", "last", "x.y"], [None, "t"]),
+    ("select a * b, count(*), (select max(z.*) from z) from ((p join r on p.a = r.b) join (select 1) w on 1 = 1)", ["p", "r", "z"], []),
+    ('select "Al".*, 2 * 3 from "S"."T" as "A", "S"."U" "Al" union all select * from u2 order by a, b', ["s.t", "s.u", "u2"], ["Al", None]),
+    ("select * except (a, b) from e1, e2 where x in (select k from sub)", ["e1", "e2", "sub"], [None]),
+    ("select cast(x as timestamp with time zone) from c, gen(1, 2) g, unnest(v) where a is distinct from b", ["c"], []),
+    ("select 'from lit, x' from db.sch.tab /* from gone, * */ -- , t9\n, t2 where exists (select * from in_exists)",
+     ["in_exists", "sch.tab", "t2"], [None]),
+    ("", [], []), ("select ((((", [], []), (")))) select 1 from x", ["x"], []), (None, [], []), ("select * from t; select 1 from u", ["t", "u"], [None]),
+])
+def test_reads_and_stars_by_clause(spark, sql, read, stars):
+    rows = spark.createDataFrame([("m", sql)], "path string, compiled_text string")
+    found = [f"{r.schema_name}.{r.table_name}".lstrip(".") for r in classify.table_refs(rows).collect()]
+    assert sorted(found) == read
+    assert sorted((r.alias for r in classify.star_aliases(rows).collect()), key=str) == sorted(stars, key=str)
+
+
+def test_star_evidence_is_the_line_of_the_star(spark):
+    source = "/* p.*\n * note\n*/\nselect\n    a * b,\n    x.id, *,\n    p.* -- all of p\nfrom t p, u x"
+    rows = spark.createDataFrame([("m", source, source)], "path string, source_text string, compiled_text string")
+    got = classify.star_exposure(rows).first()
+    assert got.select_star_exposure and sorted(got.star_evidence) == ["m:6: x.id, *,", "m:7: p.* -- all of p"]
+
+
+def test_blanked_comments_keep_lines_and_literals(spark):
+    rows = spark.createDataFrame([("a /* x\ny */ b -- c\n'-- /* d'\ne - f / g",), (None,)], "t string")
+    got = [r[0] for r in rows.select(text.blank_comments(F.col("t"))).collect()]
+    assert got == ["a \n b \n'-- /* d'\ne - f / g", None]
