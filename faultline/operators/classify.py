@@ -21,16 +21,10 @@ def table_refs(compiled: DataFrame) -> DataFrame:
     model's own WITH are not tables, nor are functions. Unqualified tables have an empty
     schema.
     """
-    scanned = compiled.select("path", clauses.scan(text.without_comments(F.col("compiled_text"))).alias("found"))
+    texts = compiled.select("path", F.lit(None).cast("string").alias("source_text"), "compiled_text")
     # An outer explode: the inner one would repeat the fold in a pushed-down filter.
-    names = scanned.select(
-        "path", F.col("found.own").alias("own"), F.explode_outer(F.array_distinct("found.refs")).alias("name")
-    ).filter(F.col("name").isNotNull()).select(
-        "path", "own", clauses.segment(F.col("name"), 1).alias("table_name"),
-        F.coalesce(clauses.segment(F.col("name"), 2), F.lit("")).alias("schema_name"),
-    )
-    foreign = (F.col("schema_name") != "") | ~F.array_contains("own", F.col("table_name"))
-    return names.filter(foreign).select("path", "schema_name", "table_name").distinct()
+    reads = model_facts(texts).select("path", F.explode_outer("reads").alias("_read")).filter(F.col("_read").isNotNull())
+    return reads.select("path", F.col("_read.schema_name").alias("schema_name"), F.col("_read.table_name").alias("table_name")).distinct()
 
 
 def _stars(sql: Column) -> Column:
@@ -63,27 +57,39 @@ def _star_evidence(source: Column, path: Column, aliases: Column) -> Column:
     return F.coalesce(F.array_distinct(found), F.array().cast("array<string>"))
 
 
-def star_exposure(corpus: DataFrame) -> DataFrame:
-    """Whether each model expands a star, with the source lines that show it.
+def model_facts(corpus: DataFrame) -> DataFrame:
+    """What each model's texts say, by one scan: path, is_readable, select_star_exposure,
+    star_evidence (source lines) and reads, the tables in its FROM clauses.
 
     ``corpus`` is ``path, source_text, compiled_text``. A model without compiled
     text is reported as not readable and not exposed, with a note on that.
     """
-    aliases = _stars(text.without_comments(F.col("compiled_text")))
-    rows = corpus.withColumn("_stars", aliases)
-    exposed = F.coalesce(F.size("_stars") > 0, F.lit(False))
+    rows = corpus.select("*", clauses.scan(text.without_comments(F.col("compiled_text"))).alias("_found"))
+    stars = F.col("_found.stars")
+    exposed = F.coalesce(F.size(stars) > 0, F.lit(False))
     note = F.array(F.concat("path", F.lit(": no readable compiled text, stars could not be checked")))
+    named = F.transform(
+        F.array_distinct("_found.refs"),
+        lambda n: F.struct(F.coalesce(clauses.segment(n, 2), F.lit("")).alias("schema_name"), clauses.segment(n, 1).alias("table_name")),
+    )
+    own = F.col("_found.own")
     return rows.select(
         "path",
         F.col("compiled_text").isNotNull().alias("is_readable"),
         exposed.alias("select_star_exposure"),
         F.when(F.col("compiled_text").isNull(), note)
-        .when(exposed, _star_evidence(F.col("source_text"), F.col("path"), F.col("_stars")))
+        .when(exposed, _star_evidence(F.col("source_text"), F.col("path"), stars))
         .otherwise(F.array().cast("array<string>"))
         .alias("star_evidence"),
+        F.filter(named, lambda n: (n["schema_name"] != "") | ~F.array_contains(own, n["table_name"])).alias("reads"),
     )
 
 
+def star_exposure(corpus: DataFrame) -> DataFrame:
+    """Whether each model expands a star, with the source lines that show it."""
+    return model_facts(corpus).drop("reads")
+
+
 def line_evidence(corpus: DataFrame, column: Column, ignore_case: bool = True) -> DataFrame:
     """One row per source line that names the column, comment lines left out."""
     pattern = text.word(column, ignore_case)

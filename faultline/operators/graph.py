@@ -1,73 +1,109 @@
 """Reachability over lineage edges for any number of starting points.
 
-A search keeps rows of (search, node) and advances all searches one hop per job.
-Each frontier is made distinct and written to the shared folder before the next
-hop, which bounds the lineage and gives Catalyst the frontier's real size: small
-frontiers are broadcast to the edges, larger ones meet them in a sort-merge join,
-where AQE splits the partitions of hub nodes. A node reached again at a later hop
-is kept until the end, where the fewest hops win: at most one row per hop, and no
-join against everything seen so far. Without a bound on hops (``max_hops=None``) a
-search goes on until nothing new is reached; what was seen is then taken out of each
-frontier, so cycles end.
+A search keeps rows of (search, node) and advances all searches one hop per job, until
+nothing new is reached or a given number of hops is done; cycles end, since what was seen
+is taken out of each frontier. Two tables are written so that later hops need not move them:
+
+* the edges, once, bucketed by where they start. The edges of a hub are dealt over as many
+  salts as its out-degree asks for; a frontier row on a hub is repeated for each salt, any
+  other row once. So no bucket holds more than ``HUB_EDGES`` edges of one node.
+* what was seen, bucketed by its whole row and partitioned by hop. A frontier is the
+  partition of the last hop, so only newly reached rows are ever shuffled.
+
+Both lie in the shared folder: a lost executor costs the running hop at most, and Catalyst
+knows their sizes, so small ones are broadcast instead.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from faultline.session import stage
+from faultline.operators.ordering import number_within
+from faultline.session import run_path, stage
 
-DEFAULT_HOPS = 3
 DEFAULT_BUDGET = 30
 # Stands for "the table as a whole" where a search also follows single columns.
 WHOLE_TABLE = "*"
-
-
-def cluster_edges(edges: DataFrame) -> DataFrame:
-    """Edges written once, bucketed by source, so that no hop has to shuffle them."""
-    return stage(edges, "edges", ("src",))
-
-
-def _layers(
+# Edges of one node that share a bucket at most.
+HUB_EDGES = 100_000
+# Dashboards whose membership one number holds.
+_SET_BITS = 63
+
+
+@dataclass(frozen=True)
+class Adjacency:
+    """Edges bucketed by start, and by salt where there are hubs; how many salts each hub has."""
+
+    edges: DataFrame
+    hubs: DataFrame | None
+    table: str
+
+
+def adjacency(edges: DataFrame, position: Sequence[str], hub_edges: int = HUB_EDGES) -> Adjacency:
+    """``edges`` (a ``src_`` and a ``dst_`` column per position) written once for many hops."""
+    spark = edges.sparkSession
+    starts = [f"src_{p}" for p in position]
+    degrees = edges.groupBy(*starts).agg(F.count(F.lit(1)).alias("_degree")).filter(F.col("_degree") > hub_edges)
+    size = Observation()
+    hubs = stage(
+        degrees.select(*starts, F.ceil(F.col("_degree") / hub_edges).cast("int").alias("_salts"))
+        .observe(size, F.count(F.lit(1)).alias("rows")),
+        "hubs",
+    )
+    found = size.get["rows"] > 0
+    keys = starts
+    if found:
+        salt = F.pmod(F.xxhash64(*[f"dst_{p}" for p in position]), F.coalesce("_salts", F.lit(1))).cast("int")
+        edges = edges.join(hubs, starts, "left").withColumn("_salt", salt).drop("_salts")
+        keys = [*starts, "_salt"]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"edges_{uuid.uuid4().hex}"
+    edges.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option(
+        "path", run_path(spark, "edges")
+    ).saveAsTable(table)
+    return Adjacency(spark.table(table), hubs if found else None, table)
+
+
+def _walk(
     seeds: DataFrame,
     edges: DataFrame,
     search: Sequence[str],
     position: Sequence[str],
     max_hops: int | None,
     jobs: tuple[DataFrame, DataFrame] | None = None,
+    hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
-    """Rows (search, position, hop) for every hop at which a position is reached.
-
-    ``edges`` has a ``src_`` and a ``dst_`` column per position column. The last
-    frontier of a bounded search stays lazy and may repeat rows; callers aggregate the
-    layers.
-    """
+    """Rows (search, position, hop) with the fewest hops; seeds are hop 0."""
+    spark = seeds.sparkSession
     state = [*search, *position]
-    frontier = seeds.select(*state)
-    seen = frontier
-    layers = [frontier.limit(0).withColumn("hop", F.lit(0))] if max_hops is not None and max_hops < 1 else []
-    hop = 0
-    while max_hops is None or hop < max_hops:
-        hop += 1
-        moved = _advance(frontier, edges, search, position)
+    path, table = run_path(spark, "seen"), f"seen_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def keep(rows: DataFrame, hop: int) -> int:
+        size = Observation()
+        counted = rows.observe(size, F.count(F.lit(1)).alias("rows")).withColumn("hop", F.lit(hop))
+        counted.write.mode("append").partitionBy("hop").bucketBy(buckets, *state).option("path", path).saveAsTable(table)
+        return size.get["rows"]
+
+    near = adjacency(edges, position, hub_edges)
+    left, hop = keep(seeds.select(*state).distinct(), 0), 0
+    while left and (max_hops is None or hop < max_hops):
+        seen = spark.table(table)
+        frontier = seen.filter(F.col("hop") == hop).select(*state)
+        moved = _advance(frontier, near, search, position)
         if jobs is not None:
             moved = moved.unionByName(_through_jobs(frontier, jobs, search))
-        if max_hops is None:
-            moved = moved.join(seen, state, "left_anti")
-        frontier = moved
-        if hop != max_hops:
-            size = Observation()
-            frontier = stage(moved.distinct().observe(size, F.count(F.lit(1)).alias("rows")), "frontier")
-        layers.append(frontier.withColumn("hop", F.lit(hop)))
-        if hop != max_hops and size.get["rows"] == 0:
-            break
-        if max_hops is None:
-            seen = seen.unionByName(frontier)
-    return reduce(DataFrame.unionByName, layers)
+        hop += 1
+        left = keep(moved.distinct().join(seen.select(*state), state, "left_anti"), hop)
+    schema = spark.table(table).schema
+    for name in (table, near.table):
+        spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(schema).parquet(path)
 
 
 def _search(
@@ -77,18 +113,22 @@ def _search(
     position: Sequence[str],
     max_hops: int | None,
     jobs: tuple[DataFrame, DataFrame] | None = None,
+    hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
     """Rows (search, position, hop) with the fewest hops, seeds left out."""
-    state = [*search, *position]
-    layers = _layers(seeds, edges, search, position, max_hops, jobs)
-    reached = layers.groupBy(*state).agg(F.min("hop").alias("hop"))
-    return reached.join(seeds.select(*state), state, "left_anti")
+    return _walk(seeds, edges, search, position, max_hops, jobs, hub_edges).filter("hop > 0")
 
 
-def _advance(frontier: DataFrame, edges: DataFrame, search: Sequence[str], position: Sequence[str]) -> DataFrame:
-    on = [F.col(f"f.{p}") == F.col(f"e.src_{p}") for p in position]
-    joined = frontier.alias("f").join(edges.alias("e"), on)
-    return joined.select(*[F.col(f"f.{s}") for s in search], *[F.col(f"e.dst_{p}").alias(p) for p in position])
+def _advance(frontier: DataFrame, near: Adjacency, search: Sequence[str], position: Sequence[str]) -> DataFrame:
+    at = frontier.select(*search, *[F.col(p).alias(f"src_{p}") for p in position])
+    starts = [f"src_{p}" for p in position]
+    keys = starts
+    if near.hubs is not None:
+        last = F.coalesce("_salts", F.lit(1)) - 1
+        at = at.join(near.hubs, starts, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_salts")
+        keys = [*starts, "_salt"]
+    joined = at.join(near.edges, keys)
+    return joined.select(*search, *[F.col(f"dst_{p}").alias(p) for p in position])
 
 
 def _through_jobs(frontier: DataFrame, jobs: tuple[DataFrame, DataFrame], search: Sequence[str]) -> DataFrame:
@@ -109,22 +149,23 @@ def _node_edges(edges: DataFrame) -> DataFrame:
 def downstream_reach(
     seeds: DataFrame,
     edges: DataFrame,
-    max_hops: int | None = DEFAULT_HOPS,
+    max_hops: int | None = None,
     search: Sequence[str] = ("change_id",),
     jobs: tuple[DataFrame, DataFrame] | None = None,
+    hub_edges: int = HUB_EDGES,
 ) -> DataFrame:
     """Every node each search reaches along the edges, with its fewest hops.
 
     ``jobs`` adds (inlets, outlets) tables of ``job_id, node``: a job links each
     of its inlets to each of its outlets.
     """
-    return _search(seeds, _node_edges(edges), search, ("node",), max_hops, jobs)
+    return _search(seeds, _node_edges(edges), search, ("node",), max_hops, jobs, hub_edges)
 
 
 def upstream_reach(
     seeds: DataFrame,
     edges: DataFrame,
-    max_hops: int | None = DEFAULT_HOPS,
+    max_hops: int | None = None,
     search: Sequence[str] = ("dashboard",),
     jobs: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
@@ -134,7 +175,7 @@ def upstream_reach(
 
 
 def column_reach(
-    seeds: DataFrame, column_edges: DataFrame, max_hops: int | None = DEFAULT_HOPS, search: Sequence[str] = ("change_id",)
+    seeds: DataFrame, column_edges: DataFrame, max_hops: int | None = None, search: Sequence[str] = ("change_id",)
 ) -> DataFrame:
     """Nodes that carry the changed column on, under whatever name it has there."""
     edges = column_edges.select(
@@ -147,24 +188,78 @@ def column_reach(
 
 
 def impact_reach(
-    changes: DataFrame, edges: DataFrame, column_edges: DataFrame, max_hops: int | None = DEFAULT_HOPS
+    changes: DataFrame, edges: DataFrame, column_edges: DataFrame, max_hops: int | None = None
 ) -> DataFrame:
     """Both searches of an assessment at once: everything downstream, and which of it
     carries the changed column.
 
     One search over (node, column), where a star stands for the table as a whole,
-    needs half the jobs of two searches. A cycle may lead back to the changed
-    table; that row is left for the caller to drop where it knows the root anyway.
+    needs half the jobs of two searches. A column cycle may lead back to the changed
+    table under another name; that row is left for the caller to drop where it knows
+    the root anyway.
     """
     lineage = lineage_edges(edges, column_edges)
     whole = changes.select("change_id", "node", F.lit(WHOLE_TABLE).alias("column_name"))
     seeds = whole.unionByName(changes.select("change_id", "node", "column_name"))
-    hits = _layers(seeds, lineage, ("change_id",), ("node", "column_name"), max_hops)
+    hits = _search(seeds, lineage, ("change_id",), ("node", "column_name"), max_hops)
     return hits.groupBy("change_id", "node").agg(
         F.min("hop").alias("hop"), F.max(F.col("column_name") != WHOLE_TABLE).alias("in_column_scope")
     )
 
 
+def dashboard_sets(dashboards: DataFrame, edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Which dashboards each node feeds: (node, block, members), a bit per dashboard.
+
+    Sets flow from the dashboards up the edges. A hop moves only the bits a node gained at
+    the hop before and joins them by ``bit_or``, so there is one row per node and block of
+    ``_SET_BITS`` dashboards, and no row per dashboard and node. Without a bound on hops it
+    does not matter which dashboard a node feeds (whatever reaches the node reaches that
+    dashboard too), so all of them are one member.
+    """
+    boards = dashboards.select("node").distinct()
+    if max_hops is None:
+        gained = boards.select("node", F.lit(0).cast("long").alias("block"), F.lit(1).cast("long").alias("members"))
+    else:
+        place = F.col("_place") - 1
+        gained = number_within(boards, [], [F.col("node")], "_place").select(
+            "node", F.floor(place / _SET_BITS).alias("block"),
+            F.expr(f"shiftleft(1L, CAST((_place - 1) % {_SET_BITS} AS INT))").alias("members"),
+        )
+    swapped = edges.select(F.col("dst").alias("src_node"), F.col("src").alias("dst_node"))
+    near = adjacency(swapped, ("node",))
+    known, hop, left = None, 0, 1
+    while left and (max_hops is None or hop < max_hops):
+        moved = _advance(gained, near, ("block", "members"), ("node",))
+        fresh = moved.groupBy("node", "block").agg(F.bit_or("members").alias("members"))
+        if known is not None:
+            held = known.groupBy("node", "block").agg(F.bit_or("members").alias("_held"))
+            new = F.col("members").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("long"))))
+            fresh = fresh.join(held, ["node", "block"], "left").select("node", "block", new.alias("members"))
+        size = Observation()
+        gained = stage(
+            fresh.filter("members <> 0").observe(size, F.count(F.lit(1)).alias("rows")), "gained"
+        )
+        left, hop = size.get["rows"], hop + 1
+        known = gained if known is None else known.unionByName(gained)
+    edges.sparkSession.sql(f"DROP TABLE {near.table}")
+    if known is None:
+        return gained.limit(0)
+    return known.groupBy("node", "block").agg(F.bit_or("members").alias("members"))
+
+
+def dashboard_exposure(reach: DataFrame, changes: DataFrame, sets: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(change, node) pairs that feed a dashboard their change reaches: one test per pair.
+
+    ``sets`` is what :func:`dashboard_sets` returns for the same bound on hops.
+    """
+    pairs = reach.select("change_id", "node")
+    if max_hops is None:
+        return pairs.join(sets.select("node").distinct(), "node", "left_semi")
+    wanted = changes.join(sets, "node").select("change_id", "block", F.col("members").alias("_wanted"))
+    fed = pairs.join(sets, "node").join(wanted, ["change_id", "block"])
+    return fed.filter(F.col("members").bitwiseAND(F.col("_wanted")) != 0).select("change_id", "node").distinct()
+
+
 def lineage_edges(edges: DataFrame, column_edges: DataFrame) -> DataFrame:
     """Table and column edges as one table over (node, column)."""
     star = F.lit(WHOLE_TABLE)
@@ -192,18 +287,6 @@ def dashboards_reached(reach: DataFrame, assets: DataFrame) -> DataFrame:
     return reach.join(boards, "node", "left_semi").select("change_id", F.col("node").alias("dashboard"))
 
 
-def dashboard_exposure(
-    scanned: DataFrame, change_dashboards: DataFrame, upstream: DataFrame
-) -> DataFrame:
-    """(change, node) pairs that feed one of the dashboards their change reaches.
-
-    ``upstream`` is searched once per dashboard, not once per change.
-    """
-    feeds = scanned.select("change_id", "node").join(upstream.select("dashboard", "node"), "node")
-    hits = feeds.join(change_dashboards, ["change_id", "dashboard"], "left_semi")
-    return hits.select("change_id", "node").distinct()
-
-
 def exclude_root(reach: DataFrame, changes: DataFrame) -> DataFrame:
     return reach.join(changes.select("change_id", "node"), ["change_id", "node"], "left_anti")
 

@@ -37,56 +37,45 @@ class Estate:
 
 @dataclass(frozen=True)
 class Reach:
-    """What one assessment found: nodes per change, dashboards per change, exposed pairs."""
+    """What one search found: (change, node) with hop and column scope, the dashboards there
+    are, and the dashboard sets of the nodes; ``max_hops`` is the bound both kept to."""
 
+    changes: DataFrame
     nodes: DataFrame
-    dashboards: DataFrame
-    exposed: DataFrame
+    boards: DataFrame
+    sets: DataFrame
+    max_hops: int | None
+
+    @property
+    def dashboards(self) -> DataFrame:
+        """(change, dashboard) for every dashboard a change reaches."""
+        return graph.dashboards_reached(self.nodes, self.boards)
+
+    @property
+    def exposed(self) -> DataFrame:
+        """(change, node) that feed a dashboard their change reaches."""
+        return graph.dashboard_exposure(self.nodes, self.changes, self.sets, self.max_hops)
 
 
 def asset_types(entities: DataFrame) -> DataFrame:
     return entities.select("node", F.col("entity.type").alias("type")).distinct()
 
 
-def reach(estate: Estate, max_hops: int = graph.DEFAULT_HOPS) -> Reach:
-    """The downstream search, and which reached nodes feed a reached dashboard.
-
-    Dashboards are searched upstream once each, at the same time as the changes
-    are searched downstream; only those a change reaches count for it.
-    """
-    types = asset_types(estate.entities)
-    seeds = types.filter("type = 'DASHBOARD'").select(F.col("node").alias("dashboard"), "node")
+def reach(estate: Estate, max_hops: int | None = None) -> Reach:
+    """The downstream search of all changes, beside the sets of dashboards that nodes feed."""
+    boards = asset_types(estate.entities).filter("type = 'DASHBOARD'")
     with ThreadPoolExecutor(1) as beside:
-        upward = beside.submit(graph.upstream_reach, seeds, estate.edges, max_hops)
+        upward = beside.submit(graph.dashboard_sets, boards, estate.edges, max_hops)
         nodes = stage(graph.impact_reach(estate.changes, estate.edges, estate.column_edges, max_hops), "reach")
-        upstream = upward.result()
-    boards = graph.dashboards_reached(nodes, types)
-    return Reach(nodes, boards, graph.dashboard_exposure(nodes, boards, upstream))
+        sets = upward.result()
+    return Reach(estate.changes, nodes, boards, sets, max_hops)
 
 
-def scanned(found: Reach) -> DataFrame:
-    """(change_id, node) with hop, column scope and dashboard exposure.
-
-    Exposure is added by a union and one partial aggregation on the pairs.
-    """
-    no = F.lit(False)
-    nodes = found.nodes.select("change_id", "node", "hop", "in_column_scope", no.alias("is_dashboard_exposed"))
-    exposed = found.exposed.select(
-        "change_id", "node", F.lit(None).cast("int").alias("hop"), no.alias("in_column_scope"),
-        F.lit(True).alias("is_dashboard_exposed"),
-    )
-    return nodes.unionByName(exposed).groupBy("change_id", "node").agg(
-        F.min("hop").alias("hop"),
-        F.max("in_column_scope").alias("in_column_scope"),
-        F.max("is_dashboard_exposed").alias("is_dashboard_exposed"),
-    )
-
-
-def asset_profiles(estate: Estate) -> DataFrame:
+def asset_profiles(estate: Estate, facts: DataFrame) -> DataFrame:
     """Everything known about an asset whatever the change: one row per dataset node."""
     rows = estate.entities.withColumn("degree", F.lit(0))
     merged = siblings.coalesce_siblings(siblings.merge_siblings(rows, keys=())).drop("hop")
-    models = classify.star_exposure(estate.corpus).withColumnRenamed("path", "file_path")
+    models = facts.drop("reads").withColumnRenamed("path", "file_path")
     counts = estate.usage_log.groupBy("node").agg(F.count(F.lit(1)).alias("usage_count"))
     profile = merged.join(models, "file_path", "left").join(counts, "node", "left")
     return profile.withColumns({
@@ -97,17 +86,16 @@ def asset_profiles(estate: Estate) -> DataFrame:
     })
 
 
-def origin_evidence(estate: Estate) -> DataFrame:
+def origin_evidence(estate: Estate, facts: DataFrame) -> DataFrame:
     """(change, node) whose model reads the changed table itself, with the lines that
     name its column.
 
     Starts from the changes, so model texts meet direct readers only and never
     the whole scan.
     """
-    corpus = estate.corpus
-    reads = classify.table_refs(corpus).filter(F.col("schema_name") == SOURCE_SCHEMA)
+    reads = facts.select("path", F.explode("reads").alias("read")).filter(F.col("read.schema_name") == SOURCE_SCHEMA)
     readers = estate.changes.select("change_id", "column_name", F.lower("node").alias("table_name")).join(
-        reads.select("path", "table_name"), "table_name"
+        reads.select("path", F.col("read.table_name").alias("table_name")), "table_name"
     )
     lines = text.matching_lines(
         F.col("source_text"), F.col("path"), text.word(F.col("column_name"), ignore_case=True)
@@ -116,26 +104,42 @@ def origin_evidence(estate: Estate) -> DataFrame:
     files = estate.entities.select(
         "node", names.custom_property(properties, names.FILE_PATH_PROPERTY).alias("path")
     ).filter(F.col("path").isNotNull())
-    return readers.join(corpus.select("path", "source_text"), "path").join(files, "path").select(
+    return readers.join(files, "path").join(estate.corpus.select("path", "source_text"), "path").select(
         "change_id", "node", lines.alias("origin_lines"), F.lit(True).alias("reads_changed")
     )
 
 
-def assess(
-    estate: Estate, max_hops: int = graph.DEFAULT_HOPS, budget: int | None = None
-) -> DataFrame:
+def unassessed(estate: Estate, found: Reach) -> DataFrame:
+    """(change, node, hop) that a change reaches but the catalog has no record of.
+
+    They cannot be graded, so they are no rows of the assessment; nothing reached is in neither.
+    """
+    known = estate.entities.select("node").distinct()
+    return found.nodes.join(known, "node", "left_anti").select("change_id", "node", "hop")
+
+
+def assess(estate: Estate, max_hops: int | None = None, budget: int | None = None, found: Reach | None = None) -> DataFrame:
     """One row per (change, asset) with status, evidence, exposure, owners and severity.
 
     ``budget`` caps the assets looked at per change as a call budget would; by
-    default every reached asset is assessed. Narrow pairs are joined by (change,
-    asset) first, where they already lie, and get the asset's columns last.
+    default every reached asset is assessed. Without a bound on hops, feeding a
+    dashboard is a fact about the asset alone and comes with its profile; pairs
+    are joined for it only where hops are bounded.
     """
-    found = reach(estate, max_hops)
+    with ThreadPoolExecutor(1) as beside:
+        read = beside.submit(stage, classify.model_facts(estate.corpus), "facts")
+        found = found or reach(estate, max_hops)
+        facts = read.result()
     changes = estate.changes.select("change_id", F.col("node").alias("root"), "column_name", "change_type", "new_column")
-    pairs = scanned(found).join(origin_evidence(estate), ["change_id", "node"], "left")
-    joined = pairs.join(changes, "change_id").filter(F.col("node") != F.col("root")).join(
-        asset_profiles(estate), "node"
-    )
+    profiles = asset_profiles(estate, facts)
+    feeds = F.lit(True).alias("is_dashboard_exposed")
+    pairs = found.nodes.join(origin_evidence(estate, facts), ["change_id", "node"], "left")
+    if found.max_hops is None:
+        profiles = profiles.join(found.sets.select("node", feeds).distinct(), "node", "left")
+    else:
+        pairs = pairs.join(found.exposed.select("change_id", "node", feeds), ["change_id", "node"], "left")
+    joined = pairs.join(changes, "change_id").filter(F.col("node") != F.col("root")).join(profiles, "node")
+    joined = joined.withColumn("is_dashboard_exposed", F.coalesce("is_dashboard_exposed", F.lit(False)))
     if budget is not None:
         joined = graph.bounded_scan(joined, found.dashboards, budget)
     path, readable = F.col("file_path"), F.col("is_readable")

@@ -67,13 +67,91 @@ def test_column_search_follows_renames_only(spark):
     assert rows == {("u", "b", 1), ("v", "c", 2)}
 
 
-def test_exposure_needs_a_dashboard_the_change_reaches(spark):
-    seeds, edges = frames(spark, [("x", "t")], [("t", "a"), ("a", "d1"), ("t", "b"), ("b", "c")])
-    assets = spark.createDataFrame([("d1", "DASHBOARD"), ("a", "DATASET")], "node string, type string")
-    reach = graph.downstream_reach(seeds, edges)
-    boards = graph.dashboards_reached(reach, assets)
-    up = graph.upstream_reach(boards.select("dashboard", F.col("dashboard").alias("node")), edges)
-    assert [r.node for r in graph.dashboard_exposure(reach, boards, up).collect()] == ["a"]
+def exposed_by_force(seeds, edges, boards, hops):
+    """Pairs whose node feeds, within the hops, a dashboard that the change reaches within them."""
+    reached = brute(seeds, edges, hops)
+    fed = brute([(b, b) for b in boards], [(d, s) for s, d in edges], hops)
+    out = set()
+    for change, node in reached:
+        # A walk that leaves a dashboard and comes back to it counts for the nodes between.
+        if any((change, b) in reached and ((b, node) in fed) for b in boards):
+            out.add((change, node))
+    return out
+
+
+def test_exposure_equals_the_pairs_of_every_dashboard(spark):
+    rng = random.Random(11)
+    nodes = [f"n{i:02d}" for i in range(60)]
+    edges = sorted({tuple(sorted(rng.sample(nodes, 2))) for _ in range(90)})
+    boards = rng.sample(nodes[20:], 12)
+    seeds = [(f"c{i}", nodes[i]) for i in range(12)]
+    s, e = frames(spark, seeds, edges)
+    d = spark.createDataFrame([(b,) for b in boards], "node string")
+    for hops in (1, 2, 3, None):
+        reach = graph.downstream_reach(s, e, hops)
+        sets = graph.dashboard_sets(d, e, hops)
+        got = {(r.change_id, r.node) for r in graph.dashboard_exposure(reach, s, sets, hops).collect()}
+        assert got == exposed_by_force(seeds, edges, boards, hops or len(nodes))
+
+
+def test_sets_of_more_dashboards_than_one_number_holds(spark):
+    boards = [f"d{i:03d}" for i in range(150)]
+    edges = [("a", b) for b in boards[::2]] + [("b", b) for b in boards[1::2]] + [("c", "a"), ("x", "c"), ("y", "b")]
+    s, e = frames(spark, [("cx", "x"), ("cy", "y")], edges)
+    sets = graph.dashboard_sets(spark.createDataFrame([(b,) for b in boards], "node string"), e, 3)
+    rows = sets.collect()
+    assert len(rows) == len({(r.node, r.block) for r in rows}) and {r.block for r in rows} == {0, 1, 2}
+    bits = {}
+    for r in rows:
+        bits[r.node] = bits.get(r.node, 0) + bin(r.members & (2**64 - 1)).count("1")
+    assert bits == {"a": 75, "b": 75, "c": 75, "x": 75, "y": 75}
+    reach = graph.downstream_reach(s, e, 3)
+    got = {(r.change_id, r.node) for r in graph.dashboard_exposure(reach, s, sets, 3).collect()}
+    assert got == {("cx", "c"), ("cx", "a"), ("cy", "b")}
+
+
+def test_exposure_on_cycles_and_without_dashboards(spark):
+    s, e = frames(spark, [("x", "t")], [("t", "a"), ("a", "d1"), ("d1", "a"), ("t", "b"), ("b", "b")])
+    reach = graph.downstream_reach(s, e)
+    one = spark.createDataFrame([("d1",), ("d1",)], "node string")
+    sets = graph.dashboard_sets(one, e)
+    assert {r.node for r in graph.dashboard_exposure(reach, s, sets).collect()} == {"a", "d1"}
+    assert graph.dashboard_exposure(reach, s, graph.dashboard_sets(one.limit(0), e)).count() == 0
+    assert graph.dashboard_sets(one, e, 0).count() == 0
+
+
+def test_hubs_are_dealt_over_salts(spark):
+    edges = [("hub", f"n{i}") for i in range(1000)] + [(f"n{i}", f"m{i}") for i in range(20)] + [("m1", "hub")]
+    s, e = frames(spark, [("c", "hub"), ("d", "n1"), ("e", "absent")], edges)
+    assert as_dict(graph.downstream_reach(s, e, hub_edges=50)) == as_dict(graph.downstream_reach(s, e)) == brute(
+        [("c", "hub"), ("d", "n1")], edges, 10)
+    near = graph.adjacency(e.select(F.col("src").alias("src_node"), F.col("dst").alias("dst_node")), ("node",), 50)
+    assert [tuple(r) for r in near.hubs.collect()] == [("hub", 20)]
+    share = near.edges.filter("src_node = 'hub'").groupBy("_salt").count().collect()
+    assert len(share) == 20 and max(r["count"] for r in share) < 100
+    spark.sql(f"DROP TABLE {near.table}")
+
+
+def test_edges_are_not_shuffled_by_a_hop(spark):
+    s, e = frames(spark, [("c", "a")], [("a", "b"), ("b", "c")])
+    near = graph.adjacency(e.select(F.col("src").alias("src_node"), F.col("dst").alias("dst_node")), ("node",))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph._advance(s, near, ("change_id",), ("node",))._jdf.queryExecution().sparkPlan().toString()
+        executed = graph._advance(s, near, ("change_id",), ("node",))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Bucketed: true" in executed and executed.count("Exchange hashpartitioning") == 1, plan
+    spark.sql(f"DROP TABLE {near.table}")
+
+
+def test_searches_leave_no_catalog_tables(spark):
+    s, e = frames(spark, [("c", "a")], [("a", "b"), ("b", "c")])
+    before = {t.name for t in spark.catalog.listTables()}
+    reach = graph.downstream_reach(s, e)
+    graph.dashboard_sets(spark.createDataFrame([("c",)], "node string"), e)
+    assert {t.name for t in spark.catalog.listTables()} == before and reach.count() == 2
 
 
 def test_budget_keeps_the_nearest_and_says_so(spark):
