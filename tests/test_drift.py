@@ -101,9 +101,30 @@ def test_outcomes_follow_the_settled_changes(spark, tmp_path):
     for rows in ([("public", "t", A, 1), ("public", "t", B, 3)], [("public", "t", A[:1], 2)]):
         write(snapshots(spark, rows), source)
         stream.outcome_stream(stream.snapshot_stream(spark, source), out, state)
-    found = files.read_outcomes(spark, f"{out}/outcomes").collect()
+    found = stream.read_outcomes(spark, out).collect()
     assert [(r.batch, r.captured_at.day, r.change_type, r.pipeline_triggered) for r in found] == [
         (0, 3, "add_column", False), (1, 2, "drop_column", False)]
+    log = files.read_outcomes(spark, f"{out}/outcomes", schemas.WATCH_CORRECTION).collect()
+    assert sorted((r.version, r.op, r.change_type, r.pipeline_triggered) for r in log) == [
+        (0, 1, "possible_rename", True), (1, -1, "possible_rename", True), (1, 1, "add_column", False), (1, 1, "drop_column", False)]
+    assert stream.read_outcomes(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    """A batch of one table adds its snapshots and corrections, and leaves all other files alone."""
+    out = str(tmp_path / "log")
+    add = stream._add_batch(out, outcomes=True)
+    add(snapshots(spark, [("public", f"t{k}", A, day) for k in range(300) for day in (1, 4)]), 0)
+    held = {p: p.stat().st_mtime_ns for p in (tmp_path / "log").rglob("*.parquet")}
+    add(snapshots(spark, [("public", "t7", B, 3), ("public", "t7", A, 9)]), 1)
+    assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in held.items())
+    assert spark.read.parquet(f"{out}/history/batch=1").count() == 2
+    assert len([p for p in (tmp_path / "log" / "history" / "batch=1").iterdir() if p.name.startswith("bucket=")]) == 1
+    rows = spark.read.parquet(f"{out}/changes/batch=1").collect()
+    assert sorted((r.captured_at.day, r.op, r.old_column, r.new_column) for r in rows) == [(3, 1, "b", "c"), (4, 1, "c", "b")]
+    add(snapshots(spark, [("public", "t7", A, 2), ("public", "t7", A[:1], 3)]), 2)
+    assert [r.op for r in spark.read.parquet(f"{out}/changes/batch=2").collect()] == []
+    assert {(r.captured_at.day, r.batch) for r in stream.late_snapshots(spark, out).collect()} == {(3, 1), (2, 2), (3, 2)}
 
 
 def test_a_name_listed_twice_has_the_first_of_its_types(spark):
