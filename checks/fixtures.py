@@ -25,6 +25,9 @@ def _key(kind: str, column: str) -> str:
     return f"'{kind}_' || CAST({column} AS STRING)"
 
 
+# Customers with a profile of their own, whose model reads one column and may filter by it.
+_PROFILED = "c_mktsegment = 'BUILDING' AND c_acctbal > 9000"
+
 FIXTURES: dict[str, str] = {}
 
 # --- warehouse -----------------------------------------------------------------
@@ -136,6 +139,8 @@ UNION ALL
 SELECT {_key("digest", "n_nationkey")}, {_key("board", "n_regionkey")}, 'model' FROM nation WHERE n_regionkey IN (1, 2)
 UNION ALL
 SELECT {_key("digest", "n_nationkey")}, {_key("archive", "n_nationkey")}, 'model' FROM nation WHERE n_regionkey = 3
+UNION ALL
+SELECT {_key("customer", "c_custkey")}, {_key("profile", "c_custkey")}, 'model' FROM customer WHERE {_PROFILED}
 """
 
 # Columns a, n and r (the return flags) travel supplier -> order -> customer and,
@@ -157,6 +162,8 @@ FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')
 UNION ALL
 SELECT {_key("customer", "c_custkey")}, 'r', {_key("nation", "c_nationkey")}, 'total_r'
 FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')
+UNION ALL
+SELECT {_key("customer", "c_custkey")}, 'r', {_key("profile", "c_custkey")}, 'r' FROM customer WHERE {_PROFILED}
 """
 
 # Every supplier and every customer table announces one change, and so do large urgent orders.
@@ -239,6 +246,11 @@ SELECT {_key("digest", "n_nationkey")}, 'marts', 'DATASET', {PHYSICAL.format(n=_
        'urn:li:corpuser:reporting', {_null()}
 FROM nation WHERE n_regionkey <> 0
 UNION ALL
+SELECT {_key("profile", "c_custkey")}, 'marts', 'DATASET', {PHYSICAL.format(n=_key("profile", "c_custkey"))},
+       {LOGICAL.format(n=_key("profile", "c_custkey"))}, 'models/profiles/' || {_key("profile", "c_custkey")} || '.sql',
+       'urn:li:corpuser:crm', {_null()}
+FROM customer WHERE {_PROFILED}
+UNION ALL
 SELECT {_key("board", "r_regionkey")}, 'marts', 'DASHBOARD', {DASHBOARD.format(n=_key("board", "r_regionkey"))},
        {_null()}, {_null()}, {_null()}, 'urn:li:corpuser:finance'
 FROM region WHERE r_regionkey IN (1, 2)
@@ -277,6 +289,11 @@ UNION ALL
 SELECT 'models/reports/' || {_key("digest", "n_nationkey")} || '.sql',
        'select' || chr(10) || '    r.*' || chr(10) || 'from {{{{ ref(''' || {_key("report", "n_nationkey")} || ''') }}}} as r' || chr(10), true
 FROM nation WHERE n_regionkey <> 0
+UNION ALL
+SELECT 'models/profiles/' || {_key("profile", "c_custkey")} || '.sql',
+       'select' || chr(10) || '    c.r' || chr(10) || 'from {{{{ ref(''' || {_key("customer", "c_custkey")} || ''') }}}} as c' || chr(10)
+       || CASE WHEN c_nationkey < 12 THEN 'where c.r is not null' || chr(10) ELSE '' END, true
+FROM customer WHERE {_PROFILED}
 """.replace("{{{{", "{{").replace("}}}}", "}}")
 
 # One model text per part; size, type and brand decide what the text contains.

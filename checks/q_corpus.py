@@ -163,7 +163,8 @@ def verified(i):
 SELECT s.path, s.raw_error IS NULL AND m.names IS NULL AS passed, CASE WHEN s.raw_error IS NULL THEN 2 ELSE 1 END AS n_outcomes,
        CASE WHEN s.raw_error IS NOT NULL THEN 'V1_STATIC' WHEN m.names IS NOT NULL THEN 'V2_COMPILE' END AS failed_level,
        CASE WHEN s.raw_error IS NOT NULL THEN s.raw_error WHEN m.names IS NOT NULL THEN 'not found: ' || m.names END AS raw_error
-FROM static s LEFT JOIN (SELECT path, string_agg(name, ', ' ORDER BY name) AS names FROM missing GROUP BY path) m ON m.path = s.path""", CHECKED)
+FROM static s LEFT JOIN (SELECT path, string_agg(full_name, ', ' ORDER BY full_name) AS names
+    FROM (SELECT path, CASE WHEN source_name = '' THEN name ELSE source_name || '.' || name END AS full_name FROM missing) f GROUP BY path) m ON m.path = s.path""", CHECKED)
 def verification_report(i):
     return verified(i).select(
         "path", "passed", F.size("outcomes").alias("n_outcomes"), F.col("first_failure.level").alias("failed_level"),

@@ -186,6 +186,17 @@ def type_change(i):
     return drift.type_changes(history(i))
 
 
+def mapped_tables(i):
+    """Lineage nodes of the public tables; nothing is known of those still in staging."""
+    fields = i.snapshot_fields.filter("schema_name = 'public'")
+    return fields.select(*drift.KEY, F.concat(F.lit("customer_"), F.substring_index("table_name", "_", -1)).alias("node")).distinct()
+
+
+@query("unmapped_drift", CHANGES + " WHERE old_column IS NOT NULL AND new_column IS NOT NULL AND schema_name = 'staging'", SNAPSHOTS)
+def unmapped_drift(i):
+    return watch.unmapped_drift(drift.history_diff(history(i)), mapped_tables(i))
+
+
 @query("drift_assess", """
 SELECT 'postgres-' || schema_name || '-' || table_name || '-' || strftime(captured_at, '%Y%m%d%H%M%S') || '-' || old_column AS change_id,
        'customer_' || split_part(table_name, '_', 2) AS root, 'possible_rename' AS change_type, new_column, h.scanned,
@@ -193,17 +204,15 @@ SELECT 'postgres-' || schema_name || '-' || table_name || '-' || strftime(captur
        CASE WHEN coalesce(h.affected, 0) = 0 THEN 'NO_MIGRATION_NEEDED' ELSE 'BREAKING' END AS decision_type,
        CASE WHEN coalesce(h.affected, 0) = 0 THEN 'NOT_APPLICABLE' ELSE 'PENDING' END AS confirmation_mode
 FROM changes JOIN (SELECT c.node, count(*) FILTER (a.type = 'DATASET') AS scanned,
-                          count(*) FILTER (a.type = 'DATASET' AND n_regionkey IN (1, 2) AND a.node LIKE 'nation%') AS affected
+                          count(*) FILTER (a.type = 'DATASET' AND ((n_regionkey IN (1, 2) AND a.node LIKE 'nation%') OR a.node LIKE 'report%' OR a.node LIKE 'digest%')) AS affected
                    FROM (SELECT DISTINCT node, change_id FROM fx_changes) c JOIN broad_all b ON b.change_id = c.change_id
                    JOIN fx_assets a ON a.node = b.node
                    LEFT JOIN nation ON a.node = 'nation_' || CAST(n_nationkey AS STRING) GROUP BY 1) h
   ON h.node = 'customer_' || split_part(table_name, '_', 2)
-WHERE old_column IS NOT NULL AND new_column IS NOT NULL""", {**SNAPSHOTS, **e.BROAD})
+WHERE old_column IS NOT NULL AND new_column IS NOT NULL AND schema_name = 'public'""", {**SNAPSHOTS, **e.BROAD})
 def drift_assess(i):
     """Drift of a user's table is drift of that customer's node; its columns carry on nowhere."""
-    tables = i.snapshot_fields.select(
-        *drift.KEY, F.concat(F.lit("customer_"), F.substring_index("table_name", "_", -1)).alias("node")).distinct()
-    decisions = watch.drift_assess(e.estate(i), drift.history_diff(history(i)), tables)
+    decisions = watch.drift_assess(e.estate(i), drift.history_diff(history(i)), mapped_tables(i))
     return decisions.select("change_id", "root", "change_type", "new_column", "scanned", "affected", "decision_type", "confirmation_mode")
 
 
@@ -261,10 +270,11 @@ def attempts_read(i):
 
 
 @query("attempt_summary", """
-SELECT run_id, count(*) AS attempts, CASE WHEN bool_or(static_ok AND compile_ok) THEN 'PASSED' ELSE 'NEEDS_HUMAN' END AS final_status,
+SELECT run_id, count(*) FILTER (attempt_number <= 3) AS attempts, count(*) FILTER (attempt_number > 3) AS attempts_past_cap,
+       CASE WHEN bool_or(static_ok AND compile_ok AND attempt_number <= 3) THEN 'PASSED' ELSE 'NEEDS_HUMAN' END AS final_status,
        arg_max(CASE WHEN NOT static_ok THEN 'too long: ' || length(candidate_content) ELSE 'not an answer' END, attempt_number)
-           FILTER (NOT (static_ok AND compile_ok)) AS last_failure
-FROM fx_attempt_checks WHERE attempt_number <= 3 GROUP BY run_id""")
+           FILTER (NOT (static_ok AND compile_ok) AND attempt_number <= 3) AS last_failure
+FROM fx_attempt_checks GROUP BY run_id""")
 def attempt_summary(i):
     return verify.attempt_summary(attempts(i))
 

@@ -8,7 +8,7 @@ from checks import estate as e
 from checks.registry import query
 from faultline.operators import classify, decision, narrative, patch, report, severity, usage
 from faultline.plans import assessment as plan
-from faultline.plans import migration
+from faultline.plans import migration, warehouse
 from faultline.session import run_path, stage
 from faultline.sources import files
 
@@ -65,6 +65,9 @@ def assessment_export(i):
 
 # --- usage, owners, metadata ---------------------------------------------------
 
+# Names as they turn up in texts themselves: the third word of every statement, in order of name.
+WORDS = """SELECT row_number() OVER (ORDER BY name) AS priority, name AS table_name
+FROM (SELECT DISTINCT split_part(statement, ' ', 3) AS name FROM fx_statements) n WHERE length(name) > 2"""
 KNOWN = ["thor", "eaux", "ring", "ation", "email", "licen", "der", "que", "the"]
 # The last nine names first tried are preceded here by names no text holds.
 MANY = [f"absent_table_{n}" for n in range(80)] + KNOWN
@@ -81,6 +84,16 @@ def usage_attribution_long_list(i):
     return usage.attribute_statements(i.statements, MANY).select("statement_id", "target")
 
 
+@query("usage_attribution_many_names", """
+SELECT s.statement_id, coalesce(arg_min(w.table_name, w.priority), 'fct_orders') AS target
+FROM fx_statements s LEFT JOIN words w ON contains(s.statement, w.table_name) GROUP BY s.statement_id""", {"words": WORDS})
+def usage_attribution_many_names(i):
+    """Every third word of all statements as a name, least name first."""
+    word = F.split_part("statement", F.lit(" "), F.lit(3))
+    names = i.statements.select(word.alias("table_name")).filter(F.length("table_name") > 2).distinct()
+    return usage.attribute_statements(i.statements, names.withColumn("priority", F.col("table_name"))).select("statement_id", "target")
+
+
 @query("query_fingerprint", "SELECT substr(sha256(statement), 1, 16) AS fingerprint, min(statement_id) AS statement_id, "
        "count(*) AS copies FROM fx_statements GROUP BY 1")
 def query_fingerprint(i):
@@ -111,6 +124,13 @@ def usage_window_30d(i):
     return usage.usage_window(i.usage_log)
 
 
+@query("usage_sliding_30d", "SELECT node, CAST(usage_date AS VARCHAR) AS usage_date, CAST(sum(n) OVER (PARTITION BY node ORDER BY usage_date "
+       "RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS recent_queries "
+       "FROM (SELECT node, CAST(ts AS DATE) AS usage_date, count(*) AS n FROM fx_usage_log GROUP BY 1, 2) d")
+def usage_sliding_30d(i):
+    return usage.usage_sliding(i.usage_log)
+
+
 @query("owner_assign", "SELECT DISTINCT node, CASE WHEN layer IN ('raw', 'staging') THEN 'urn:li:corpuser:engineering' "
        "ELSE 'urn:li:corpuser:analytics' END AS owner, CASE WHEN layer IN ('raw', 'staging') THEN 'TECHNICAL_OWNER' "
        "ELSE 'BUSINESS_OWNER' END AS owner_type FROM fx_assets")
@@ -217,14 +237,14 @@ def strategy_options(i):
     return decision.strategy_options(decided(i))
 
 
-REASON = """CASE
- WHEN s = 'A' AND r = 'C' AND hard_breaks > 0 THEN 'Direct patch rejected: ' || hard_breaks || ' hard break(s) are too many to change at once.'
- WHEN s = 'A' AND r = 'C' THEN 'Direct patch rejected: hop ' || affected_deepest_hop || ' with ' || silent_risks || ' silent risk(s) is too deep to patch in one pass.'
- WHEN s = 'A' AND r = 'B' THEN 'Direct patch rejected: ' || exposed_affected || ' affected asset(s) feed a dashboard.'
- WHEN s = 'B' AND r = 'C' THEN 'Bridge migration rejected: consumers down to affected hop ' || affected_deepest_hop || ' would still need a patch each.'
- WHEN s = 'B' AND r = 'A' THEN 'Bridge migration rejected: no affected asset feeds a dashboard.'
- WHEN s = 'C' AND r = 'B' THEN 'Defer & deprecate rejected: ' || hard_breaks || ' hard break(s) do not justify waiting.'
- ELSE 'Defer & deprecate rejected: ' || hard_breaks || ' hard break(s) down to affected hop ' || affected_deepest_hop || ' can be patched now.' END"""
+REASON = """s || ': ' || CASE
+ WHEN s = 'A' THEN concat_ws('; ', CASE WHEN many THEN 'hard breaks ' || hard_breaks || ' > 5' END,
+      CASE WHEN deep THEN 'affected hop ' || affected_deepest_hop || ' >= 4' END,
+      CASE WHEN exposed_affected > 0 THEN 'dashboard feeders ' || exposed_affected || ' > 0' END)
+ WHEN s = 'B' AND r = 'C' THEN concat_ws('; ', CASE WHEN many THEN 'hard breaks ' || hard_breaks || ' > 5' END,
+      CASE WHEN deep THEN 'affected hop ' || affected_deepest_hop || ' >= 4' END)
+ WHEN s = 'B' THEN 'dashboard feeders 0'
+ ELSE 'hard breaks ' || hard_breaks || ' <= 5; affected hop ' || affected_deepest_hop || ' < 4' END"""
 REJECTED = f"""SELECT change_id, s AS strategy_id, {REASON} AS reason FROM (
     SELECT *, recommended_strategy AS r, unnest(['A', 'B', 'C']) AS s FROM decided WHERE decision_type = 'BREAKING') x WHERE s <> r"""
 
@@ -276,7 +296,7 @@ def confirmation(i):
 NARRATIVE = """
  CASE compile_status WHEN 'ORIGIN_HARD_BREAK' THEN '`' || node || '` breaks: it reads the changed column `' || column_name || '` of `' || root || '` itself'
       WHEN 'CASCADE_HARD_BREAK' THEN '`' || node || '` breaks: something it is built on fails first'
-      ELSE '`' || node || '` does not read the changed column' END
+      ELSE '`' || node || '` holds nothing that comes from `' || root || '.' || column_name || '`' END
  || ' (hop ' || hop || '). '
  || CASE break_mode WHEN 'HARD_BREAK' THEN 'The failure is loud: the model no longer compiles or runs.'
          || CASE WHEN select_star_exposure THEN ' It also expands a star, so a careless fix could shift its columns silently.' ELSE '' END
@@ -418,10 +438,44 @@ def related_assets(i):
         "change_id", "document_type", "urn", "is_root", "topics")
 
 
-@query("outcome_record", """
-SELECT change_id, CASE WHEN passed THEN 'SUCCEEDED' ELSE 'FAILED' END AS outcome,
-       CAST(0 AS BIGINT) AS residue_lines FROM tried""", REPAIRS)
+# The orders of a change's customer, as they are and as rebuilt under a renamed key.
+SCOPE = """SELECT change_id, c_custkey AS customer_key FROM fx_changes JOIN customer ON node = 'customer_' || c_custkey
+UNION ALL SELECT change_id, o_custkey FROM fx_changes JOIN orders ON node = 'order_' || o_orderkey"""
+PARITY = {
+    "change_scope": SCOPE,
+    "differing": """SELECT DISTINCT customer_key FROM (
+        (SELECT * FROM fx_fct_orders EXCEPT ALL SELECT * FROM fx_candidate_orders)
+        UNION ALL (SELECT * FROM fx_candidate_orders EXCEPT ALL SELECT * FROM fx_fct_orders)) d""",
+    "order_counts": """SELECT customer_key, CAST(sum(n) AS BIGINT) AS delta FROM (
+        SELECT customer_key, -1 AS n FROM fx_fct_orders UNION ALL SELECT customer_key, 1 FROM fx_candidate_orders) c GROUP BY 1""",
+    "verdicts": """SELECT s.change_id, coalesce(n.delta, 0) AS row_delta, d.customer_key IS NULL AS checksum_equal,
+        CASE WHEN d.customer_key IS NULL THEN 'PASS' ELSE 'FAIL' END AS verdict
+        FROM change_scope s LEFT JOIN differing d ON d.customer_key = s.customer_key
+        LEFT JOIN order_counts n ON n.customer_key = s.customer_key""",
+}
+
+
+def change_parity(i):
+    customers = i.customer.select(F.concat(F.lit("customer_"), "c_custkey").alias("node"), F.col("c_custkey").alias("customer_key"))
+    orders = i.orders.select(F.concat(F.lit("order_"), "o_orderkey").alias("node"), F.col("o_custkey").alias("customer_key"))
+    scope = i.changes.select("change_id", "node").join(customers.unionByName(orders), "node").select("change_id", "customer_key")
+    rebuilt = i.candidate_orders.withColumnRenamed("customer_key", "buyer_key")
+    return warehouse.shadow_parity_by_change(scope, i.fct_orders, rebuilt, {"buyer_key": "customer_key"}, "customer_key")
+
+
+@query("parity_by_change", "SELECT * FROM verdicts", PARITY)
+def parity_by_change(i):
+    return change_parity(i)
+
+
+@query("outcome_record", f"""
+SELECT t.change_id, CASE WHEN NOT passed OR v.verdict = 'FAIL' THEN 'FAILED' WHEN r.n > 0 THEN 'PARTIAL' ELSE 'SUCCEEDED' END AS outcome,
+       CAST(coalesce(r.n, 0) AS BIGINT) AS residue_lines
+FROM tried t JOIN verdicts v ON v.change_id = t.change_id LEFT JOIN (
+    SELECT change_id, count(*) - CASE WHEN any_value(passed) THEN 1 ELSE 0 END AS n FROM (
+        SELECT t.change_id, t.passed, d.column_name, {e.LINES.format(t='m.source_text')}
+        FROM tried t JOIN decided d ON d.change_id = t.change_id JOIN models m ON m.path = t.path) l
+    WHERE line NOT LIKE '--%' AND regexp_matches(line, '(?i)\\b' || column_name || '\\b') GROUP BY change_id) r ON r.change_id = t.change_id
+""", {**REPAIRS, **PARITY})
 def outcome_record(i):
-    run = migrated(i)
-    verdicts = run.verified.select("change_id", F.lit("PASS").alias("verdict"))
-    return migration.outcomes(run, verdicts)
+    return migration.outcomes(migrated(i), change_parity(i))

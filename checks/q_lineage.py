@@ -208,6 +208,18 @@ def bounded_scan(i):
     return graph.bounded_scan(scanned, graph.dashboards_reached(reach, i.assets))
 
 
+@query("scan_budgets", """
+SELECT c.change_id, coalesce(s.n, 0) AS n_assets, coalesce(d.n, 0) AS n_dashboards, greatest(0, 28 - coalesce(d.n, 0)) AS allowed,
+       least(coalesce(s.n, 0), greatest(0, 28 - coalesce(d.n, 0))) AS n_scanned, coalesce(s.n, 0) > greatest(0, 28 - coalesce(d.n, 0)) AS truncated
+FROM fx_changes c
+LEFT JOIN (SELECT change_id, count(*) AS n FROM broad_all b JOIN fx_assets a ON a.node = b.node AND a.type = 'DATASET' GROUP BY 1) s ON s.change_id = c.change_id
+LEFT JOIN (SELECT change_id, count(*) AS n FROM boards GROUP BY 1) d ON d.change_id = c.change_id""", e.DASHBOARDS)
+def scan_budgets(i):
+    reach = graph.downstream_reach(i.changes, i.edges)
+    scanned = reach.join(i.assets.filter(graph.is_dataset()).select("node"), "node", "left_semi")
+    return graph.scan_budgets(i.changes, scanned, graph.dashboards_reached(reach, i.assets))
+
+
 @query("job_edges", "SELECT DISTINCT i.node AS src, o.node AS dst, 'job' AS kind FROM fx_job_inlets i "
        "JOIN fx_job_outlets o ON o.job_id = i.job_id")
 def job_edges(i):

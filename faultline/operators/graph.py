@@ -297,20 +297,31 @@ def deepest_hop(changes: DataFrame, reach: DataFrame) -> DataFrame:
     return changes.select("change_id").join(deepest, "change_id", "left").fillna(0, ["deepest_hop"])
 
 
-def bounded_scan(scanned: DataFrame, change_dashboards: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
-    """The assets a call budget allows per change, nearest first, and whether any were left.
+def scan_budgets(
+    changes: DataFrame, scanned: DataFrame, change_dashboards: DataFrame, budget: int = DEFAULT_BUDGET
+) -> DataFrame:
+    """What a call budget allows each change, those it leaves nothing to included.
 
-    Two calls go to lineage, one to each dashboard, one to each asset. The first
-    filter has a literal bound, so each map task keeps at most that many rows per
-    change and a hot change is cut before the shuffle.
+    Two calls go to lineage, one to each dashboard, one to each asset.
     """
     boards = change_dashboards.groupBy("change_id").agg(F.count(F.lit(1)).alias("n_dashboards"))
     totals = scanned.groupBy("change_id").agg(F.count(F.lit(1)).alias("n_assets"))
-    limits = totals.join(boards, "change_id", "left").select(
-        "change_id",
-        F.greatest(F.lit(0), F.lit(budget - 2) - F.coalesce("n_dashboards", F.lit(0))).alias("allowed"),
-        "n_assets",
+    counted = changes.select("change_id").distinct().join(totals, "change_id", "left").join(boards, "change_id", "left")
+    allowed = F.greatest(F.lit(0).cast("long"), F.lit(budget - 2) - F.col("n_dashboards"))
+    return counted.fillna(0, ["n_assets", "n_dashboards"]).select(
+        "change_id", "n_assets", "n_dashboards", allowed.alias("allowed"),
+        F.least(allowed, F.col("n_assets")).alias("n_scanned"), (F.col("n_assets") > allowed).alias("truncated"),
     )
+
+
+def bounded_scan(scanned: DataFrame, change_dashboards: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """The assets a call budget allows per change, nearest first, and whether any were left.
+
+    The first filter has a literal bound, so each map task keeps at most that many rows
+    per change and a hot change is cut before the shuffle. A change whose dashboards use
+    the budget up has no rows here; :func:`scan_budgets` has a row for every change.
+    """
+    limits = scan_budgets(scanned, scanned, change_dashboards, budget).select("change_id", "allowed", "n_assets")
     nearest = Window.partitionBy("change_id").orderBy("hop", "node")
     first = scanned.withColumn("scan_rank", F.row_number().over(nearest)).filter(F.col("scan_rank") <= budget - 2)
     return (

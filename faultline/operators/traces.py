@@ -17,7 +17,9 @@ def calls_by_tool(calls: DataFrame, budget: int = CALL_BUDGET) -> DataFrame:
 
 def leading_count(summary: Column) -> Column:
     """The number a result summary starts with, null if it starts with none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(summary, r"^\s*([0-9]+)", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    digits = F.nullif(F.regexp_extract(summary, r"^\s*0*([0-9]+)", 1), F.lit(""))
+    # No result is as large as the largest long; a number beyond it counts as that.
+    return F.when(digits.isNotNull(), F.coalesce(digits.try_cast("long"), F.lit((1 << 63) - 1)))
 
 
 def result_counts(calls: DataFrame) -> DataFrame:

@@ -2,34 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import names
 
 DEFAULT_TABLE = "fct_orders"
-# Up to this many names are one generated CASE; longer lists are one array lookup.
-_MAX_CASE_NAMES = 64
 
 # The owner of each layer of the demo warehouse.
 TECHNICAL_LAYERS = ("raw", "staging")
 
 
+# Characters of the names that one automaton holds at most; longer lists take several.
+BLOCK_CHARS = 1 << 23
+
+
+def _name_blocks(known: Sequence[str] | DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """(priority, name) in order of priority, in lists of bounded size."""
+    if isinstance(known, DataFrame):
+        rows = ((r.priority, r.table_name) for r in known.select("priority", "table_name").orderBy("priority").toLocalIterator())
+    else:
+        rows = enumerate(known)
+    block, chars = [], 0
+    for priority, name in rows:
+        if name is None:
+            continue
+        if block and chars + len(name) > BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+        block.append((priority, name))
+        chars += len(name)
+    if block:
+        yield block
+
+
+def _automaton(names: list[tuple[int, str]]):
+    """All names as one automaton that reads a text once, whatever their number."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for place, (_, name) in enumerate(names):
+        if name and name not in found:
+            found.add_word(name, place)
+    found.make_automaton()
+    return found
+
+
+def _first_names(names: list[tuple[int, str]]):
+    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(names)
+        empty = next((place for place, (_, name) in enumerate(names) if not name), len(names))
+        for batch in batches:
+            at = batch.schema.names.index("target")
+            targets = batch.column(at).to_pylist()
+            for k, statement in enumerate(batch.column(batch.schema.names.index("statement")).to_pylist()):
+                if targets[k] is None and statement is not None:
+                    hits = (place for _, place in automaton.iter(statement)) if len(automaton) else ()
+                    place = min(hits, default=len(names))
+                    place = min(place, empty)
+                    targets[k] = names[place][1] if place < len(names) else None
+            yield batch.set_column(at, "target", pa.array(targets, pa.string()))
+
+    return attribute
+
+
 def attribute_statements(
-    statements: DataFrame, known_tables: Sequence[str], default: str = DEFAULT_TABLE
+    statements: DataFrame, known_tables: Sequence[str] | DataFrame, default: str = DEFAULT_TABLE
 ) -> DataFrame:
-    """The first listed table whose name occurs in each statement."""
-    text = F.col("statement")
-    if len(known_tables) <= _MAX_CASE_NAMES:
-        target = F.lit(default)
-        for name in reversed(known_tables):
-            target = F.when(F.contains(text, F.lit(name)), name).otherwise(target)
-    else:
-        listed = F.array(*[F.lit(name) for name in known_tables])
-        target = F.coalesce(F.get(F.filter(listed, lambda n: F.contains(text, n)), F.lit(0)), F.lit(default))
-    return statements.withColumn("target", target)
+    """The first listed table whose name occurs in each statement, ``target``.
+
+    ``known_tables`` is a list, or a table of ``priority, table_name`` (least priority
+    first). All names are matched in one reading of a statement; a list too long for one
+    automaton is taken in blocks, and later blocks read only what is not attributed yet.
+    A null statement, or one that names no table, gets the default.
+    """
+    rows = statements.withColumn("target", F.lit(None).cast("string"))
+    for names in _name_blocks(known_tables):
+        rows = rows.mapInArrow(_first_names(names), rows.schema)
+    return rows.withColumn("target", F.coalesce("target", F.lit(default)))
 
 
 def fingerprint(statement: Column) -> Column:
@@ -79,6 +132,18 @@ def usage_window(usage_log: DataFrame, days: int = 30) -> DataFrame:
     return recent.groupBy("node").agg(F.count(F.lit(1)).alias("recent_queries"))
 
 
+def usage_sliding(usage_log: DataFrame, days: int = 30) -> DataFrame:
+    """Queries per asset in the ``days`` days that end with each day it was queried.
+
+    Days are counted first, so a window runs over one row per asset and day however many
+    queries there were, and a query is added up once and not once per window it is in.
+    """
+    panes = usage_log.groupBy("node", F.to_date("ts").alias("usage_date")).agg(F.count(F.lit(1)).alias("_n"))
+    day = F.datediff("usage_date", F.lit("1970-01-01").cast("date"))
+    recent = Window.partitionBy("node").orderBy(day).rangeBetween(1 - days, 0)
+    return panes.select("node", "usage_date", F.sum("_n").over(recent).alias("recent_queries"))
+
+
 def assign_owners(assets: DataFrame, technical_owner: str, business_owner: str) -> DataFrame:
     """One owner per table: technical for raw and staging layers, business for marts."""
     technical = F.col("layer").isin(*TECHNICAL_LAYERS)

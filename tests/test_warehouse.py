@@ -105,3 +105,42 @@ def test_previous_value_of_a_hot_key(spark):
     df = spark.createDataFrame([("hot", i, i * 3) for i in range(2000)] + [("cold", 5, 1)], "k string, d int, v int")
     got = {(r.k, r.d): r.before for r in ordering.previous_within(df, ["k"], "d", "v", "before").collect()}
     assert got == {("hot", i): (i - 1) * 3 if i else None for i in range(2000)} | {("cold", 5): None}
+
+
+def diffed(spark, golden, candidate, keys=("k",)):
+    g, c = (spark.createDataFrame(rows, "k string, a int, b string") for rows in (golden, candidate))
+    return sorted((r.k or "null", r.status, tuple(r.changed_columns)) for r in quality.row_diff(g, c, list(keys)).collect())
+
+
+def test_rows_without_a_telling_key_are_reported_singly(spark):
+    golden = [("x", 1, "p"), ("y", 1, None), (None, 1, "n"), (None, 1, "n"), (None, 2, "n"), ("d", 1, "e"), ("d", 1, "e"), ("z", None, None)]
+    candidate = [("x", 2, None), ("y", 1, None), (None, 1, "n"), (None, 3, "n"), (None, 4, "n"), ("d", 1, "e"), ("w", 0, "q"), ("z", None, None)]
+    assert diffed(spark, golden, candidate) == [
+        ("d", "only_in_golden", ()), ("null", "only_in_candidate", ()), ("null", "only_in_candidate", ()),
+        ("null", "only_in_golden", ()), ("null", "only_in_golden", ()), ("w", "only_in_candidate", ()), ("x", "changed", ("a", "b")),
+    ]
+    assert diffed(spark, golden, golden) == [] and len(diffed(spark, golden, [])) == len(golden)
+
+
+def test_very_many_rows_with_one_null_key_give_no_product(spark):
+    golden = spark.range(100_000).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("a"))
+    candidate = spark.range(50_000, 150_000).select(F.lit(None).cast("string").alias("k"), F.col("id").alias("a"))
+    counts = {r.status: r["count"] for r in quality.row_diff(golden, candidate, ["k"]).groupBy("status").count().collect()}
+    assert counts == {"only_in_golden": 50_000, "only_in_candidate": 50_000}
+    one = spark.range(30_000).select(F.lit("same").alias("k"))
+    assert quality.row_diff_keyless(one, one.limit(10)).count() == 29_990
+
+
+def test_keyless_difference_shuffles_rows_once(spark):
+    rows = spark.createDataFrame([("x", 1), (None, 2)], "k string, a int")
+    plan = quality.row_diff_keyless(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_parity_of_many_changes_in_one_plan(spark):
+    scope = spark.createDataFrame([("same", 1), ("less", 2), ("other", 3), ("none", 9), ("both", 1), ("both", 3)], "change_id string, k int")
+    golden = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, None), (3, "c"), (7, "z")], "k int, v string")
+    candidate = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("d", 3)], "v string, k int")
+    got = {r.change_id: (r.row_delta, r.checksum_equal, r.verdict) for r in quality.parity_by_change(scope, golden, candidate, "k").collect()}
+    assert got == {"same": (0, True, "PASS"), "less": (-1, False, "FAIL"), "other": (0, False, "FAIL"), "none": (0, True, "PASS"),
+                   "both": (0, False, "FAIL")}
