@@ -104,6 +104,36 @@ def snapshot_history_diff(i):
     return drift.history_diff(history(i))
 
 
+# Live tables and the columns they had when a snapshot of them was last stored.
+STORED = {
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_phone"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"],
+    "events": ["event_id", "ts", "user_id", "event_type", "value", "props"],
+}
+# What differs, with the rows it bears on.
+LIVE = """
+SELECT 'customer' AS table_name, 'possible_rename' AS change_type, 'c_phone' AS old_column, 'c_mktsegment' AS new_column,
+       count(c_mktsegment) AS n_values FROM customer
+UNION ALL SELECT 'orders', 'add_column', NULL, 'o_orderpriority', count(o_orderpriority) FROM orders"""
+
+
+@query("live_schema_drift", LIVE)
+def live_schema_drift(i):
+    """Stored snapshots against the schemas the tables have now, and how many values a new column holds."""
+    tables = {name: getattr(i, name) for name in STORED}
+    now = drift.live_snapshots(i.spark, tables, "files", "public", F.lit("2024-02-01").cast("timestamp"))
+    columns = F.create_map(*[x for name, kept in STORED.items() for x in (
+        F.lit(name), F.array(*[F.struct(F.lit(c).alias("name"), F.lit("").alias("type")) for c in kept]))])
+    stored = now.select(*drift.KEY, columns[F.col("table_name")].alias("columns"))
+    counts = None
+    for name, df in tables.items():
+        one = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "new_column", "n_values")
+        one = one.withColumn("table_name", F.lit(name))
+        counts = one if counts is None else counts.unionByName(one)
+    changes = drift.snapshot_diff(stored, now).select("table_name", "change_type", "old_column", "new_column")
+    return changes.join(counts, ["table_name", "new_column"], "left")
+
+
 def streamed(i):
     path = run_path(i.spark, "drift")
     stream.drift_stream(stream.snapshot_stream(i.spark, snapshot_files(i)), path, run_path(i.spark, "drift_state"))

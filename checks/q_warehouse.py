@@ -382,6 +382,20 @@ def parity_row_diff_keyless(i):
     return quality.row_diff_keyless(orders(i), i.candidate_orders)
 
 
+@query("dq_references", """
+SELECT 'raw_orders' AS child, 'cust_id' AS column_name, 'raw_customers' AS parent, count(*) AS failures FROM fx_raw_orders
+WHERE status <> 'refunded' AND cust_id NOT IN (SELECT cust_id FROM fx_raw_customers WHERE email IS NOT NULL)
+UNION ALL
+SELECT 'raw_payments', 'order_id', 'raw_orders', count(*) FROM fx_raw_payments
+WHERE order_id NOT IN (SELECT order_id FROM fx_raw_orders WHERE status <> 'refunded')""")
+def dq_references(i):
+    """All declared references, after customers without an address and refunded orders were archived."""
+    return quality.declared_orphans({
+        "raw_customers": i.raw_customers.filter("email IS NOT NULL"),
+        "raw_orders": i.raw_orders.filter("status <> 'refunded'"), "raw_payments": payments(i),
+    })
+
+
 # --- renamed source: absorb, bridge, shadow run --------------------------------
 
 

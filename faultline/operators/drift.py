@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.ordering import previous_within
@@ -29,6 +31,20 @@ def live_columns(df: DataFrame) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in df.dtypes])
 
 
+def live_snapshots(
+    spark: SparkSession, tables: Mapping[str, DataFrame], platform: str, schema_name: str, captured_at: Column
+) -> DataFrame:
+    """A snapshot of each table's schema as it is now, in the shape of the stored ones."""
+    rows = None
+    for name, df in tables.items():
+        one = spark.range(1).select(
+            F.lit(platform).alias("platform"), F.lit(schema_name).alias("schema_name"), F.lit(name).alias("table_name"),
+            captured_at.alias("captured_at"), F.array_sort(live_columns(df)).alias("columns"),
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
 def _names(columns: Column) -> Column:
     return F.array_distinct(F.transform(columns, lambda c: c["name"]))
 

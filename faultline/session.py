@@ -53,9 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+# One folder for everything this process stages, so that it can be removed as a whole.
+_RUN = f"run-{uuid.uuid4().hex}"
+
+
 def run_path(spark: SparkSession, name: str) -> str:
     """A new, never reused path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{_RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what this process has staged. Results still to be read must be written elsewhere first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{_RUN}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame, name: str, cluster_by: tuple[str, ...] = ()) -> DataFrame:

@@ -127,6 +127,14 @@ def test_a_batch_writes_what_it_changes(spark, tmp_path):
     assert {(r.captured_at.day, r.batch) for r in stream.late_snapshots(spark, out).collect()} == {(3, 1), (2, 2), (3, 2)}
 
 
+def test_live_schemas_are_snapshots(spark):
+    table = spark.createDataFrame([(1, "x")], "b int, a string")
+    now = drift.live_snapshots(spark, {"t": table}, "p", "s", F.lit("2024-01-02").cast("timestamp"))
+    assert [tuple(c) for c in now.first().columns] == [("a", "string"), ("b", "int")]
+    before = spark.createDataFrame([("p", "s", "t", [("b", "int"), ("c", "int")], datetime(2024, 1, 1))], schemas.SNAPSHOT)
+    assert [(r.old_column, r.new_column) for r in drift.snapshot_diff(before, now).collect()] == [("c", "a")]
+
+
 def test_a_name_listed_twice_has_the_first_of_its_types(spark):
     twice = [("a", "int"), ("a", "bigint"), ("b", "int")]
     history = snapshots(spark, [("public", "t", twice, 1), ("public", "t", [("a", "text"), ("a", "date")], 2)])

@@ -107,6 +107,31 @@ def test_previous_value_of_a_hot_key(spark):
     assert got == {("hot", i): (i - 1) * 3 if i else None for i in range(2000)} | {("cold", 5): None}
 
 
+def test_staged_tables_can_be_removed(spark, tmp_path):
+    from pathlib import Path
+
+    from faultline import session
+
+    before = session._RUN
+    try:
+        session._RUN = "run-of-a-test"
+        assert session.stage(spark.range(3), "three").count() == 3
+        folder = Path(session.shared_dir(spark).removeprefix("file:")) / "run-of-a-test"
+        assert len(list(folder.iterdir())) == 1
+        session.clean_up(spark)
+        assert not folder.exists()
+    finally:
+        session._RUN = before
+
+
+def test_every_declared_reference_is_checked(spark):
+    customers, orders = raw(spark)
+    payments = spark.createDataFrame([(1, 10), (2, 99), (3, None)], "payment_id int, order_id int")
+    found = quality.declared_orphans({"raw_customers": customers, "raw_orders": orders, "raw_payments": payments}).collect()
+    assert {(r.child, r.column_name, r.parent, r.failures) for r in found} == {
+        ("raw_orders", "cust_id", "raw_customers", 1), ("raw_payments", "order_id", "raw_orders", 1)}
+
+
 def diffed(spark, golden, candidate, keys=("k",)):
     g, c = (spark.createDataFrame(rows, "k string, a int, b string") for rows in (golden, candidate))
     return sorted((r.k or "null", r.status, tuple(r.changed_columns)) for r in quality.row_diff(g, c, list(keys)).collect())
