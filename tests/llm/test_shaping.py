@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +107,33 @@ def test_every_reply_is_an_example_with_all_turns_before(spark):
     assert [[t.text for t in r.turns] for r in rows] == [[t[3] for t in TURNS[:k]] for k in (1, 3, 4)]
 
 
+def test_places_are_those_in_the_shared_text(spark):
+    table = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    examples = chat_format.expand(table)
+    texts = {r.conv_id: r for r in chat_format.shared_texts(examples).collect()}
+    for r in examples.collect():
+        whole = texts[r.conv_id].formatted
+        assert whole[r.start_chars :].startswith(r.lead)
+        if r.target is not None:
+            assert whole[r.loss_start - 1 : r.loss_start - 1 + r.loss_chars] == r.target
+            assert whole[: r.context_chars] + "<s> " == whole[: r.loss_start - 1]
+
+
+def test_long_conversations_take_linear_time(spark):
+    def seconds(n):
+        rows = spark.range(n).select(
+            F.lit(1).alias("conv_id"), F.col("id").alias("turn"),
+            F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.lit("some words [INST] " * 6).alias("text"))
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        start = time.perf_counter()
+        got = chat_format.read_back(chat_format.expand(rows)).first()
+        assert got.n_turns == n and got.loss_chars == n // 2 * 108
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(8000) < 2.5 * min(seconds(4000), seconds(4000)) + 1
+
+
 def test_syncmers_by_brute_force(spark, given):
     from pyspark.sql.functions import xxhash64
 
@@ -200,10 +228,45 @@ def test_pieces_of_long_runs_are_streamed(text):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     codec = sentence_piece.Codec(path)
     assert codec.encode(text) == library.encode(text)
-    held = []
-    for n, _ in enumerate(sentence_piece.stream_pieces(codec.pieces, text[:4000])):
-        held.append(n)
-    assert len(held) > 100
+    read = []
+
+    class Counted(str):
+        """A text that notes how far it was read when each piece came out."""
+
+        def __getitem__(self, at):
+            if isinstance(at, int):
+                read.append(at)
+            return str.__getitem__(self, at)
+
+    whole, done, ahead = text[:4000], 0, 0
+    for piece in sentence_piece.stream_pieces(codec.pieces, Counted(whole)):
+        if read[-1] + 1 < len(whole):
+            ahead = max(ahead, read[-1] - done)
+        done += len(piece)
+    assert done == len(whole) and ahead <= 6 * codec.pieces.longest
+
+
+def test_short_texts_have_the_pieces_of_the_stream(given):
+    pieces = sentence_piece.Codec(tokenizer_file(sentence_piece.MODEL)).pieces
+    for r in given.limit(40).collect():
+        words = {w for w in re.split("[\\s.,]+", r.text)} - {""}
+        for word in {w[: 4 * pieces.longest] for w in words}:
+            assert sentence_piece.window_pieces(pieces, "▁" + word) == list(sentence_piece.stream_pieces(pieces, "▁" + word))
+
+
+def test_a_long_unspaced_text_takes_linear_time():
+    import sentencepiece
+
+    path = tokenizer_file(sentence_piece.MODEL)
+    rng = random.Random(8)
+    text = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(1_000_000))
+    codec = sentence_piece.Codec(path)
+    start = time.perf_counter()
+    ids = codec.encode(text)
+    assert time.perf_counter() - start < 20
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert ids[:100_000] == library.encode(text[:60_000])[:100_000] or codec.encode(text[:60_000]) == library.encode(text[:60_000])
+    assert codec.decode(ids) == text
 
 
 def test_encoding_of_hard_rows(hard, empty):
