@@ -184,13 +184,13 @@ class Codec:
     def _cut_ids(self, part: str) -> tuple[int, ...]:
         """Ids of a part, cut once more wherever no piece holds both neighbours."""
         joined = self.pieces.joined
-        out: tuple[int, ...] = ()
+        out: list[int] = []
         begin = 0
         for at in range(1, len(part) + 1):
             if part[at - 1 : at + 1] not in joined:
                 out += self._remembered(self._cuts, part[begin:at], self._piece_ids)
                 begin = at
-        return out
+        return tuple(out)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
