@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -139,6 +140,33 @@ def stream_pieces(pieces: Pieces, text: str) -> Iterator[str]:
     yield from _walk(back, base, n)
 
 
+def window_pieces(pieces: Pieces, text: str) -> list[str]:
+    """The pieces of a text that fits the window: the same pass, nothing to commit before its end."""
+    kinds, stands, followers, n = pieces.kinds.get, pieces.stands, pieces.followers, len(text)
+    back: list[str | None] = [None] * (n + 1)
+    for start in range(n):
+        left = back[start]
+        follow = followers[left].get
+        end = start + 1
+        piece = text[start]
+        kind = kinds(piece, 0) | _WHOLE
+        while True:
+            if kind & _WHOLE and back[end] is None:
+                known = follow(piece)
+                if known or known is None and stands(left, piece):
+                    back[end] = piece
+            if not kind & _MORE or end == n:
+                break
+            end += 1
+            piece = text[start:end]
+            kind = kinds(piece, 0)
+    out = []
+    while n:
+        out.append(back[n])
+        n -= len(back[n])
+    return out[::-1]
+
+
 def _walk(back: dict[int, str | None], base: int, end: int) -> list[str]:
     out = []
     while end > base:
@@ -147,6 +175,21 @@ def _walk(back: dict[int, str | None], base: int, end: int) -> list[str]:
     return out[::-1]
 
 
+class _Memo(dict):
+    """Ids of strings met before, bounded; long ones are made anew each time."""
+
+    def __init__(self, ids_of: Callable[[str], tuple[int, ...]]):
+        self.ids_of = ids_of
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.ids_of(part)
+        if len(part) <= MEMO_LENGTH:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Codec:
     """Encodes and decodes whole texts with one vocabulary."""
 
@@ -157,13 +200,14 @@ class Codec:
         # Pieces hold word marks at their start only; otherwise only the ends of a text are sure.
         inside = all(MARK not in p.lstrip(MARK) for p in self.pieces.ids)
         self._split = re.compile(f"{MARK}+[^{MARK}{cls}]*|[^{MARK}{cls}]+|[{cls}]" if inside else r"[\s\S]+")
-        self._memo: dict[str, tuple[int, ...]] = {}
-        self._cuts: dict[str, tuple[int, ...]] = {}
+        self._memo = _Memo(self._cut_ids)
+        self._cuts = _Memo(self._piece_ids)
 
     def _piece_ids(self, part: str) -> tuple[int, ...]:
         out: list[int] = []
         ids, byte_ids = self.pieces.ids, self.pieces.byte_ids
-        for piece in stream_pieces(self.pieces, part):
+        fits = len(part) <= 4 * self.pieces.longest
+        for piece in window_pieces(self.pieces, part) if fits else stream_pieces(self.pieces, part):
             known = ids.get(piece)
             if known is None:
                 out.extend(byte_ids[b] for b in piece.encode())
@@ -171,16 +215,6 @@ class Codec:
                 out.append(known)
         return tuple(out)
 
-    def _remembered(self, memo: dict, part: str, ids_of: Callable[[str], tuple[int, ...]]) -> tuple[int, ...]:
-        known = memo.get(part)
-        if known is None:
-            known = ids_of(part)
-            if len(part) <= MEMO_LENGTH:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                memo[part] = known
-        return known
-
     def _cut_ids(self, part: str) -> tuple[int, ...]:
         """Ids of a part, cut once more wherever no piece holds both neighbours."""
         joined = self.pieces.joined
@@ -188,17 +222,15 @@ class Codec:
         begin = 0
         for at in range(1, len(part) + 1):
             if part[at - 1 : at + 1] not in joined:
-                out += self._remembered(self._cuts, part[begin:at], self._piece_ids)
+                out += self._cuts[part[begin:at]]
                 begin = at
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        if text:
-            memo = self._memo
-            for part in self._split.findall(MARK + text.replace(" ", MARK)):
-                out += memo.get(part) or self._remembered(memo, part, self._cut_ids)
-        return out
+        if not text:
+            return []
+        parts = self._split.findall(MARK + text.replace(" ", MARK))
+        return list(chain.from_iterable(map(self._memo.__getitem__, parts)))
 
     def decode(self, ids: list[int]) -> str:
         surface, bytes_of, controls = self.pieces.surface, self.pieces.bytes_of, self.pieces.controls
