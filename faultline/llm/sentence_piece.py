@@ -67,6 +67,13 @@ class Pieces:
         for p in self.ids:
             for k in range(1, len(p)):
                 self.kinds[p[:k]] = self.kinds.get(p[:k], 0) | _MORE
+        # The same as a tree of characters; "" leads to the piece that ends at a node.
+        self.tree: dict = {}
+        for p in self.ids:
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
         self.followers: dict[str | None, dict[str, bool]] = defaultdict(dict)
         self._n_pairs = 0
 
@@ -142,24 +149,26 @@ def stream_pieces(pieces: Pieces, text: str) -> Iterator[str]:
 
 def window_pieces(pieces: Pieces, text: str) -> list[str]:
     """The pieces of a text that fits the window: the same pass, nothing to commit before its end."""
-    kinds, stands, followers, n = pieces.kinds.get, pieces.stands, pieces.followers, len(text)
+    root, stands, followers, n = pieces.tree.get, pieces.stands, pieces.followers, len(text)
     back: list[str | None] = [None] * (n + 1)
-    for start in range(n):
+    for start, char in enumerate(text):
         left = back[start]
         follow = followers[left].get
         end = start + 1
-        piece = text[start]
-        kind = kinds(piece, 0) | _WHOLE
-        while True:
-            if kind & _WHOLE and back[end] is None:
-                known = follow(piece)
-                if known or known is None and stands(left, piece):
-                    back[end] = piece
-            if not kind & _MORE or end == n:
-                break
+        if back[end] is None:  # a character is always allowed
+            known = follow(char)
+            if known or known is None and stands(left, char):
+                back[end] = char
+        node = root(char)
+        while node is not None and end < n:
+            node = node.get(text[end])
             end += 1
-            piece = text[start:end]
-            kind = kinds(piece, 0)
+            if node is not None and back[end] is None:
+                piece = node.get("")
+                if piece is not None:
+                    known = follow(piece)
+                    if known or known is None and stands(left, piece):
+                        back[end] = piece
     out = []
     while n:
         out.append(back[n])
@@ -200,6 +209,11 @@ class Codec:
         # Pieces hold word marks at their start only; otherwise only the ends of a text are sure.
         inside = all(MARK not in p.lstrip(MARK) for p in self.pieces.ids)
         self._split = re.compile(f"{MARK}+[^{MARK}{cls}]*|[^{MARK}{cls}]+|[{cls}]" if inside else r"[\s\S]+")
+        # What each id decodes to; controls to nothing.
+        self._bytes = [
+            bytes([self.pieces.bytes_of[i]]) if i in self.pieces.bytes_of else b"" if i in self.pieces.controls else piece.encode()
+            for i, piece in enumerate(self.pieces.surface)
+        ]
         self._memo = _Memo(self._cut_ids)
         self._cuts = _Memo(self._piece_ids)
 
@@ -233,21 +247,8 @@ class Codec:
         return list(chain.from_iterable(map(self._memo.__getitem__, parts)))
 
     def decode(self, ids: list[int]) -> str:
-        surface, bytes_of, controls = self.pieces.surface, self.pieces.bytes_of, self.pieces.controls
-        out, run = [], bytearray()
-        for i in ids:
-            byte = bytes_of.get(i)
-            if byte is not None:
-                run.append(byte)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if i not in controls:
-                out.append(surface[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        # A piece begins with no continuation byte, so it never completes the bytes before it.
+        text = b"".join(map(self._bytes.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
