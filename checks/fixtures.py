@@ -136,9 +136,9 @@ SELECT {_key("nation", "n_nationkey")}, {_key("report", "n_nationkey")}, 'model'
 UNION ALL
 SELECT {_key("report", "n_nationkey")}, {_key("digest", "n_nationkey")}, 'model' FROM nation WHERE n_regionkey <> 0
 UNION ALL
-SELECT {_key("digest", "n_nationkey")}, {_key("board", "n_regionkey")}, 'model' FROM nation WHERE n_regionkey IN (1, 2)
+SELECT {_key("report", "n_nationkey")}, {_key("board", "n_regionkey")}, 'model' FROM nation WHERE n_regionkey IN (1, 2)
 UNION ALL
-SELECT {_key("digest", "n_nationkey")}, {_key("archive", "n_nationkey")}, 'model' FROM nation WHERE n_regionkey = 3
+SELECT {_key("report", "n_nationkey")}, {_key("archive", "n_nationkey")}, 'model' FROM nation WHERE n_regionkey = 3
 UNION ALL
 SELECT {_key("customer", "c_custkey")}, {_key("profile", "c_custkey")}, 'model' FROM customer WHERE {_PROFILED}
 """

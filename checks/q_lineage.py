@@ -16,7 +16,7 @@ from faultline.sources import files
 
 def payload_hits(i):
     """A lineage response per change as nested JSON files, read back and flattened."""
-    broad = graph.downstream_reach(i.changes, i.edges)
+    broad = graph.downstream_reach(i.changes, stage(i.edges, "edges"))
     hits = broad.join(e.entities(i), "node").select(
         "change_id", F.struct("entity", F.col("hop").alias("degree")).alias("hit")
     )
@@ -44,7 +44,7 @@ def lineage_flatten(i):
 
 @query("dashboard_lookup", "SELECT change_id, dashboard FROM boards", e.DASHBOARDS)
 def dashboard_lookup(i):
-    return graph.dashboards_reached(graph.downstream_reach(i.changes, i.edges), i.assets)
+    return graph.dashboards_reached(graph.downstream_reach(i.changes, stage(i.edges, "edges")), i.assets)
 
 
 @query("bare_table_name", """
@@ -89,18 +89,18 @@ def resolve_urn(i):
 
 @query("downstream_reach", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
 def downstream_reach(i):
-    return graph.downstream_reach(i.changes, i.edges)
+    return graph.downstream_reach(i.changes, stage(i.edges, "edges"))
 
 
 @query("downstream_reach_3_hops", "SELECT change_id, node, hop FROM near_all", e.exposure_sql(3))
 def downstream_reach_3_hops(i):
-    return graph.downstream_reach(i.changes, i.edges, max_hops=3)
+    return graph.downstream_reach(i.changes, stage(i.edges, "edges"), max_hops=3)
 
 
 @query("downstream_reach_split_hubs", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
 def downstream_reach_split_hubs(i):
     """The same search with every node of more than a few edges dealt over salts."""
-    return graph.downstream_reach(i.changes, i.edges, hub_edges=20)
+    return graph.downstream_reach(i.changes, stage(i.edges, "edges"), hub_edges=20)
 
 
 @query("downstream_reach_unbounded", """
@@ -112,14 +112,14 @@ SELECT * FROM (WITH RECURSIVE walk AS (
 SELECT w.change_id, w.node, CAST(min(w.hop) AS BIGINT) AS hop FROM walk w
 JOIN fx_changes c USING (change_id) WHERE w.hop > 0 AND w.node <> c.node GROUP BY ALL)""")
 def downstream_reach_unbounded(i):
-    return graph.downstream_reach(i.changes, i.edges, max_hops=None)
+    return graph.downstream_reach(i.changes, stage(i.edges, "edges"), max_hops=None)
 
 
 @query("downstream_reach_jobs", "SELECT change_id, node, hop FROM broad_all", e.BROAD)
 def downstream_reach_jobs(i):
     """The same search with supplier edges given as jobs instead of edges."""
     models = i.edges.filter(~F.startswith("src", F.lit("supplier_")))
-    return graph.downstream_reach(i.changes, models, jobs=(i.job_inlets, i.job_outlets))
+    return graph.downstream_reach(i.changes, stage(models, "edges"), jobs=(stage(i.job_inlets, "inlets"), stage(i.job_outlets, "outlets")))
 
 
 @query("column_reach", f"SELECT change_id, node, column_name, CAST(min(hop) AS BIGINT) AS hop FROM ({e.COLUMN_HITS}) GROUP BY ALL",
@@ -154,7 +154,7 @@ def unassessed_assets(i):
 @query("exclude_root", "SELECT change_id, node, hop FROM broad_all UNION ALL SELECT change_id, dst, 9 FROM fx_changes "
        "JOIN fx_edges ON node = src WHERE kind = 'model' ORDER BY change_id, node, hop", e.BROAD)
 def exclude_root(i):
-    reach = graph.downstream_reach(i.changes, i.edges)
+    reach = graph.downstream_reach(i.changes, stage(i.edges, "edges"))
     back = i.changes.join(i.edges.filter("kind = 'model'"), F.col("node") == F.col("src")).select(
         "change_id", F.explode(F.array("src", "dst")).alias("node"), F.lit(9).alias("hop")
     )
@@ -173,7 +173,7 @@ def custom_property(i):
 @query("deepest_hop", "SELECT c.change_id, coalesce(max(hop), 0) AS deepest_hop FROM fx_changes c "
        "LEFT JOIN broad_all b ON b.change_id = c.change_id GROUP BY 1", e.BROAD)
 def deepest_hop(i):
-    return graph.deepest_hop(i.changes, graph.downstream_reach(i.changes, i.edges))
+    return graph.deepest_hop(i.changes, graph.downstream_reach(i.changes, stage(i.edges, "edges")))
 
 
 @query("sibling_merge", "SELECT change_id, node, hop, max(CASE WHEN platform = 'physical' THEN urn END) AS physical_urn, "
@@ -202,7 +202,7 @@ SELECT change_id, node, hop, scan_rank, n_assets > allowed AS truncated FROM (
     LEFT JOIN (SELECT change_id, count(*) AS n FROM boards GROUP BY 1) d ON d.change_id = s.change_id) r
 WHERE scan_rank <= allowed""", e.DASHBOARDS)
 def bounded_scan(i):
-    reach = graph.downstream_reach(i.changes, i.edges)
+    reach = graph.downstream_reach(i.changes, stage(i.edges, "edges"))
     datasets = i.assets.filter(graph.is_dataset()).select("node")
     scanned = reach.join(datasets, "node", "left_semi").select("change_id", "node", "hop")
     return graph.bounded_scan(scanned, graph.dashboards_reached(reach, i.assets))
@@ -215,7 +215,7 @@ FROM fx_changes c
 LEFT JOIN (SELECT change_id, count(*) AS n FROM broad_all b JOIN fx_assets a ON a.node = b.node AND a.type = 'DATASET' GROUP BY 1) s ON s.change_id = c.change_id
 LEFT JOIN (SELECT change_id, count(*) AS n FROM boards GROUP BY 1) d ON d.change_id = c.change_id""", e.DASHBOARDS)
 def scan_budgets(i):
-    reach = graph.downstream_reach(i.changes, i.edges)
+    reach = graph.downstream_reach(i.changes, stage(i.edges, "edges"))
     scanned = reach.join(i.assets.filter(graph.is_dataset()).select("node"), "node", "left_semi")
     return graph.scan_budgets(i.changes, scanned, graph.dashboards_reached(reach, i.assets))
 

@@ -30,7 +30,7 @@ DEFAULT_BUDGET = 30
 # Stands for "the table as a whole" where a search also follows single columns.
 WHOLE_TABLE = "*"
 # Edges of one node that share a bucket at most.
-HUB_EDGES = 100_000
+HUB_EDGES = 1_000_000
 # Dashboards whose membership one number holds.
 _SET_BITS = 63
 
@@ -49,13 +49,16 @@ def adjacency(edges: DataFrame, position: Sequence[str], hub_edges: int = HUB_ED
     spark = edges.sparkSession
     starts = [f"src_{p}" for p in position]
     degrees = edges.groupBy(*starts).agg(F.count(F.lit(1)).alias("_degree")).filter(F.col("_degree") > hub_edges)
-    size = Observation()
-    hubs = stage(
-        degrees.select(*starts, F.ceil(F.col("_degree") / hub_edges).cast("int").alias("_salts"))
-        .observe(size, F.count(F.lit(1)).alias("rows")),
-        "hubs",
-    )
-    found = size.get["rows"] > 0
+    # A table of no more edges than that has no hub; stored edges are counted by their footers.
+    found = edges.count() > hub_edges
+    if found:
+        size = Observation()
+        hubs = stage(
+            degrees.select(*starts, F.ceil(F.col("_degree") / hub_edges).cast("int").alias("_salts"))
+            .observe(size, F.count(F.lit(1)).alias("rows")),
+            "hubs",
+        )
+        found = size.get["rows"] > 0
     keys = starts
     if found:
         salt = F.pmod(F.xxhash64(*[f"dst_{p}" for p in position]), F.coalesce("_salts", F.lit(1))).cast("int")
@@ -230,8 +233,13 @@ def dashboard_sets(dashboards: DataFrame, edges: DataFrame, max_hops: int | None
     known, hop, left = None, 0, 1
     while left and (max_hops is None or hop < max_hops):
         moved = _advance(gained, near, ("block", "members"), ("node",))
-        fresh = moved.groupBy("node", "block").agg(F.bit_or("members").alias("members"))
-        if known is not None:
+        if max_hops is None:
+            # One member: a node gains it once, so what is known already is just left out.
+            fresh = moved.distinct()
+            fresh = fresh if known is None else fresh.join(known.select("node"), "node", "left_anti")
+        else:
+            fresh = moved.groupBy("node", "block").agg(F.bit_or("members").alias("members"))
+        if known is not None and max_hops is not None:
             held = known.groupBy("node", "block").agg(F.bit_or("members").alias("_held"))
             new = F.col("members").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("long"))))
             fresh = fresh.join(held, ["node", "block"], "left").select("node", "block", new.alias("members"))
@@ -244,7 +252,7 @@ def dashboard_sets(dashboards: DataFrame, edges: DataFrame, max_hops: int | None
     edges.sparkSession.sql(f"DROP TABLE {near.table}")
     if known is None:
         return gained.limit(0)
-    return known.groupBy("node", "block").agg(F.bit_or("members").alias("members"))
+    return known if max_hops is None else known.groupBy("node", "block").agg(F.bit_or("members").alias("members"))
 
 
 def dashboard_exposure(reach: DataFrame, changes: DataFrame, sets: DataFrame, max_hops: int | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.sources.fileCompressionFactor": "5.0",
     # A join whose partitions turn out small at run time hashes them instead of sorting.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Bucketed writes keep a few files open rather than sort their rows by bucket first.
+    "spark.sql.maxConcurrentOutputFileWriters": "64",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Call sites of every column expression cost more driver time than small plans do.
