@@ -39,21 +39,19 @@ def _name_blocks(known: Sequence[str] | DataFrame) -> Iterator[list[tuple[int, s
         yield block
 
 
-def _automaton(names: list[tuple[int, str]]):
-    """All names as one automaton that reads a text once, whatever their number."""
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for place, (_, name) in enumerate(names):
-        if name and name not in found:
-            found.add_word(name, place)
-    found.make_automaton()
-    return found
-
-
 def _first_names(names: list[tuple[int, str]]):
+    """For a task: all names as one automaton that reads a text once, whatever their number.
+
+    The function refers to nothing in this package, so it is shipped whole.
+    """
     def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(names)
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for place, (_, name) in enumerate(names):
+            if name and name not in automaton:
+                automaton.add_word(name, place)
+        automaton.make_automaton()
         empty = next((place for place, (_, name) in enumerate(names) if not name), len(names))
         for batch in batches:
             at = batch.schema.names.index("target")
@@ -61,8 +59,7 @@ def _first_names(names: list[tuple[int, str]]):
             for k, statement in enumerate(batch.column(batch.schema.names.index("statement")).to_pylist()):
                 if targets[k] is None and statement is not None:
                     hits = (place for _, place in automaton.iter(statement)) if len(automaton) else ()
-                    place = min(hits, default=len(names))
-                    place = min(place, empty)
+                    place = min(min(hits, default=empty), empty)
                     targets[k] = names[place][1] if place < len(names) else None
             yield batch.set_column(at, "target", pa.array(targets, pa.string()))
 
