@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from faultline.operators import graph, siblings
+from faultline.sources import files
 
 
 def brute(seeds, edges, hops):
@@ -201,3 +202,21 @@ def test_urn_resolution_prefers_the_schema_then_falls_back(spark):
     assert {r.request_id: r.urn for r in got.collect()} == {
         "r1": urn.format("public"), "r2": urn.format("archive"), "r3": None,
     }
+
+
+def test_lineage_responses_are_packed_and_read_back(spark, tmp_path):
+    entity = F.expr(
+        "named_struct('urn', concat('urn:li:dataset:', id % 7), 'type', 'DATASET', 'name', 'public.orders', "
+        "'properties', named_struct('customProperties', array(named_struct('key', 'file', 'value', 'models/a.sql'))), "
+        "'ownership', named_struct('owners', array(named_struct('owner', named_struct('urn', 'urn:li:corpuser:a'), "
+        "'type', 'TECHNICAL_OWNER'))))"
+    )
+    hit = F.struct(entity.alias("entity"), F.lit(1).cast("long").alias("degree"))
+    page = F.struct(F.lit(1).cast("long").alias("total"), F.array(hit).alias("searchResults"))
+    responses = spark.range(0, 5000, 1, 1).select(F.concat(F.lit("c"), "id").alias("change_id"), page.alias("downstreams"))
+    files.write_lineage(responses, f"{tmp_path}/packed")
+    files.write_json(responses, f"{tmp_path}/plain")
+    sizes = [sum(f.stat().st_size for f in (tmp_path / name).glob("part-*")) for name in ("packed", "plain")]
+    assert sizes[0] * 5 < sizes[1]
+    rows = files.lineage_hits(files.read_lineage(spark, f"{tmp_path}/packed"))
+    assert rows.count() == 5000 and rows.select("entity.urn").distinct().count() == 7
