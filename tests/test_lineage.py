@@ -204,6 +204,25 @@ def test_urn_resolution_prefers_the_schema_then_falls_back(spark):
     }
 
 
+def test_nodes_of_many_edges_change_how_a_hop_runs_not_what_it_finds(spark, monkeypatch):
+    rng = random.Random(11)
+    nodes = [f"n{i}" for i in range(25)]
+    edges = list({(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)}) + [(f"n{i}", "n24") for i in range(20)]
+    seeds = [("c0", "n0"), ("c1", "n3"), ("c2", "n24")]
+    s, e = frames(spark, seeds, edges)
+    monkeypatch.setattr(graph, "WIDE_EDGES", 4)
+    near = graph.adjacency(graph._node_edges(e), ("node",), mark_wide=True)
+    assert near.wide and near.edges.filter("_wide").select("dst_node").distinct().count() < len(nodes)
+    assert as_dict(graph.downstream_reach(s, e, None)) == brute(seeds, edges, len(nodes))
+
+
+def test_what_a_search_found_is_grouped_by_node_where_it_lies(spark):
+    s, e = frames(spark, [("c", "a"), ("d", "b")], [("a", "b"), ("b", "c"), ("c", "a")])
+    per_pair = graph.downstream_reach(s, e).groupBy("node", "change_id").agg(F.min("hop").alias("hop"))
+    assert as_dict(per_pair) == {("c", "b"): 1, ("c", "c"): 2, ("d", "c"): 1, ("d", "a"): 2}
+    assert "Exchange" not in per_pair._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lineage_responses_are_packed_and_read_back(spark, tmp_path):
     entity = F.expr(
         "named_struct('urn', concat('urn:li:dataset:', id % 7), 'type', 'DATASET', 'name', 'public.orders', "
