@@ -239,3 +239,12 @@ def test_lineage_responses_are_packed_and_read_back(spark, tmp_path):
     assert sizes[0] * 5 < sizes[1]
     rows = files.lineage_hits(files.read_lineage(spark, f"{tmp_path}/packed"))
     assert rows.count() == 5000 and rows.select("entity.urn").distinct().count() == 7
+
+
+def test_exports_are_packed_and_read_back(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 1).select(
+        F.lit("c").alias("change_id"), F.format_string("n%06d", "id").alias("node"), F.repeat(F.lit("reads a "), F.lit(20)).alias("evidence")
+    )
+    files.export_assessment(rows.limit(1), rows, f"{tmp_path}/export")
+    assert sum(f.stat().st_size for f in (tmp_path / "export" / "assets").glob("part-*")) < 3000 * 60
+    assert spark.read.schema(rows.schema).json(f"{tmp_path}/export/assets").exceptAll(rows).count() == 0
