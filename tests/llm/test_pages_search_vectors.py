@@ -269,3 +269,18 @@ def test_whitening_of_hard_rows(spark):
     far = spark.createDataFrame([(1, [1e300, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 5.0]), (4, [1.0, 5.0])], "vec_id long, embedding array<double>")
     out = whitening.whiten(far)
     assert out.filter("vec_id is null").count() == out.filter("vec_id = 1").count() > 0
+
+
+def test_a_page_is_parsed_once(spark, monkeypatch):
+    parses, parse = spark.sparkContext.accumulator(0), page_text.blocks_of
+
+    def counted(source):
+        parses.add(1)
+        return parse(source)
+
+    monkeypatch.setattr(page_text, "blocks_of", counted)
+    menu = "<div>" + "".join(f"<p>{m}</p>" for m in ["home", "news", "sport", "about"]) + "</div>"
+    rows = [(k, f"//h/{k}", f"{menu}<article><p>article {k}</p></article><p>own{k}</p>") for k in range(4)]
+    rows.append((4, "//h/4", f"{menu}<p>{' '.join(f'w{k}' for k in range(9))}</p>"))
+    assert texts_of(spark, rows) == {**{k: [f"article {k}"] for k in range(4)}, 4: [" ".join(f"w{k}" for k in range(9))]}
+    assert parses.value == len(rows)
