@@ -107,6 +107,20 @@ def test_every_reply_is_an_example_with_all_turns_before(spark):
     assert [[t.text for t in r.turns] for r in rows] == [[t[3] for t in TURNS[:k]] for k in (1, 3, 4)]
 
 
+def test_examples_hold_their_whole_prefix(spark):
+    table = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
+    examples = chat_format.expand(table).cache()
+    written = chat_format.prefix_targets(examples).cache()
+    whole = {(r.conv_id, r.example): r.context for r in chat_format.with_context(examples).collect()}
+    assert {(r.conv_id, r.example): r.prefix for r in written.filter("target IS NOT NULL").collect()} == whole
+    read, back = (sorted(map(str, f(d).collect())) for f, d in (
+        (chat_format.read_prefixes, written), (chat_format.read_back, examples)))
+    assert read == back
+    # What is read stands in the prefixes: without them there is less to read.
+    cut = written.withColumn("prefix", F.substring("prefix", 1, 0))
+    assert sorted(map(str, chat_format.read_prefixes(cut).collect())) != back
+
+
 def test_places_are_those_in_the_shared_text(spark):
     table = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     examples = chat_format.expand(table)
