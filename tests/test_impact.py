@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline.functions import text
@@ -129,6 +130,37 @@ def test_report_status(spark, kind, final, attempts, unhandled, expected):
     assert report.report_status(decisions, repairs, left).collect()[0].status == expected
 
 
+RANKED = (
+    "change_id string, node string, severity_score double, break_mode string, hop int, usage_count long, is_dashboard_exposed boolean, "
+    "evidence array<string>, compile_status string, root string, column_name string, select_star_exposure boolean"
+)
+
+
+def test_report_numbers_the_assets_once(spark):
+    def empty(schema):
+        return spark.createDataFrame([], schema)
+
+    seen = [("a", 5.0, "HARD_BREAK", ["x", "y"]), ("b", 2.0, "UNAFFECTED", []), ("c", 1.0, "UNAFFECTED", None), ("d", 0.5, None, [])]
+    assets = spark.createDataFrame(
+        [("k", node, score, mode, 1, 0, False, lines, "CASCADE_HARD_BREAK", "t", "q", False) for node, score, mode, lines in seen], RANKED)
+    numbered = F.row_number().over(Window.partitionBy("change_id").orderBy(F.desc("severity_score")))
+    counts = "scanned affected hard_breaks silent_risks safe distinct_owners deepest_hop".split()
+    facts = "change_id root column_name decision_type rationale recommended_strategy confirmation_mode confirmed_strategy".split()
+    rows = report.report_rows(
+        empty("change_id string, status string"), empty(", ".join([f"{c} string" for c in facts] + [f"{c} long" for c in counts])),
+        assets.withColumn("severity_rank", numbered), empty("change_id string, strategy_id string, reason string"),
+        empty("change_id string, path string, source_text string, patched_text string"),
+        empty(f"change_id string, outcomes array<{verify.OUTCOME_TYPE}>"),
+    )
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("row_number()") == 1
+    loud = "`a` breaks: something it is built on fails first (hop 1). The failure is loud: the model no longer compiles or runs. Evidence: x; y."
+    assert sorted(tuple(r)[1:] for r in rows.collect()) == [
+        (1, 1, 0, "5.0 | a | HARD_BREAK | 1 | 0 | false"), (1, 1, 1, "evidence: x"), (1, 1, 2, "evidence: y"),
+        (1, 2, 0, "2.0 | b | UNAFFECTED | 1 | 0 | false"), (1, 4, 0, "0.5 | d | 1 | 0 | false"),
+        (2, 1, 0, loud), (2, 2, 0, "safe: b"), (2, 3, 0, "safe: c"),
+    ]
+
+
 # Earlier names win, also where a later one stands first or holds them.
 TABLES = ["bookings", "rooms", "guest_rooms", "guests", "stays"]
 WORKLOAD = [
