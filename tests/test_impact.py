@@ -1,6 +1,7 @@
 """Expected values of the small demo estate."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import Window
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text
 from faultline.operators import classify, decision, report, severity, usage, verify
-from faultline.plans.assessment import Estate, assess, summarize
+from faultline.plans.assessment import MEASURED, Estate, assess, measure, summarize
 
 STG = "-- Explicit cust_id reference: cust_id is read here.\nselect\n    cust_id,\n    first_name\nfrom {{ source('public', 'raw_customers') }}\n"
 DIM = "select\n    cust_id as customer_key,\n    first_name\nfrom {{ ref('stg_customers') }}\n"
@@ -85,6 +86,23 @@ def test_demo_estate_severities_evidence_and_decision(spark, estate):
     assert decided["add"].decision_type == "ADDITIVE" and decided["add"].recommended_strategy is None
 
 
+def test_measures_equal_the_assessment_and_move_no_pair_to_its_change(spark, estate):
+    back = spark.createDataFrame([("fct_revenue", "raw_customers", "model")], "src string, dst string, kind string")
+    looped = replace(estate, edges=estate.edges.unionByName(back), changes=estate.changes.unionByName(spark.createDataFrame(
+        [("mart", "dim_customers", "customer_key", "rename", "y"), ("none", "board", "x", "rename", "y")], estate.changes.schema)))
+    for bound in (None, 2):
+        columns = [*MEASURED, "urn"]
+        rows = measure(looped, columns, max_hops=bound)
+        assert rows.columns == columns
+        assert sorted(map(str, rows.collect())) == sorted(map(str, assess(looped, bound).select(*columns).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = measure(looped)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(change_id" not in plan and "SortMergeJoin [change_id" in plan
+
+
 def summary(spark, **counts):
     base = dict(change_id="c", root="t", column_name="x", change_type="rename", scanned=9, affected=1, hard_breaks=0,
                 silent_risks=0, affected_deepest_hop=0, exposed_affected=0)
