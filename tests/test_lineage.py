@@ -216,6 +216,30 @@ def test_nodes_of_many_edges_change_how_a_hop_runs_not_what_it_finds(spark, monk
     assert as_dict(graph.downstream_reach(s, e, None)) == brute(seeds, edges, len(nodes))
 
 
+def test_frontiers_on_few_places_take_their_edges_out_first(spark, monkeypatch):
+    rng = random.Random(13)
+    nodes = [f"n{i}" for i in range(25)]
+    edges = list({(rng.choice(nodes), rng.choice(nodes)) for _ in range(60)}) + [(f"n{i}", "n24") for i in range(20)]
+    seeds = [("c0", "n0"), ("c1", "n3"), ("c2", "n24"), ("c3", "absent")]
+    s, e = frames(spark, seeds, edges)
+    taken, take = [], graph._edges_from
+    monkeypatch.setattr(graph, "_edges_from", lambda *a: taken.append(take(*a)) or taken[-1])
+    expected = brute(seeds, edges, len(nodes))
+    assert as_dict(graph.downstream_reach(s, e)) == expected and not taken
+    monkeypatch.setattr(graph, "EDGES_PER_START", 1)
+    for wide, hub in ((500, 1_000_000), (4, 1_000_000), (4, 3)):
+        monkeypatch.setattr(graph, "WIDE_EDGES", wide)
+        taken.clear()
+        assert as_dict(graph.downstream_reach(s, e, hub_edges=hub)) == expected
+        assert taken and all(near.edges.count() <= len(edges) for near in taken)
+    # The first hop takes the edges of the three seeds that are there, and no others.
+    assert taken[0].edges.count() == sum(src in {"n0", "n3", "n24"} for src, _ in edges)
+    i = spark.createDataFrame([("j1", "n0"), ("j2", "n9")], "job_id string, node string")
+    o = spark.createDataFrame([("j1", "n9"), ("j2", "far")], "job_id string, node string")
+    linked = e.unionByName(graph.job_edges(i, o).select("src", "dst"))
+    assert as_dict(graph.downstream_reach(s, e, jobs=(i, o))) == as_dict(graph.downstream_reach(s, linked))
+
+
 def test_what_a_search_found_is_grouped_by_node_where_it_lies(spark):
     s, e = frames(spark, [("c", "a"), ("d", "b")], [("a", "b"), ("b", "c"), ("c", "a")])
     per_pair = graph.downstream_reach(s, e).groupBy("node", "change_id").agg(F.min("hop").alias("hop"))
