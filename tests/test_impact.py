@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import text
 from faultline.operators import classify, decision, report, severity, usage, verify
+from faultline.plans import migration
 from faultline.plans.assessment import MEASURED, Estate, assess, measure, summarize
 
 STG = "-- Explicit cust_id reference: cust_id is read here.\nselect\n    cust_id,\n    first_name\nfrom {{ source('public', 'raw_customers') }}\n"
@@ -103,6 +104,17 @@ def test_measures_equal_the_assessment_and_move_no_pair_to_its_change(spark, est
     assert "hashpartitioning(change_id" not in plan and "SortMergeJoin [change_id" in plan
 
 
+def test_outcomes_need_no_whole_assessment(spark, estate):
+    names = spark.createDataFrame([(n,) for n in PATHS], "model string")
+    sources = spark.createDataFrame([("public", "raw_customers"), ("public", "raw_orders")], "source_name string, table_name string")
+    project = migration.Project(names, sources)
+    verdicts = spark.createDataFrame([("rename", 0, True, "PASS")], "change_id string, row_delta long, checksum_equal boolean, verdict string")
+    whole, tracked = migration.migrate(estate, project), migration.migrate(estate, project, whole=False)
+    assert tracked.assessment.columns == list(migration.TRACKED)
+    assert migration.outcomes(tracked, verdicts).collect() == migration.outcomes(whole, verdicts).collect() != []
+    assert sorted(migration.statuses(tracked).collect()) == sorted(migration.statuses(whole).collect())
+
+
 def summary(spark, **counts):
     base = dict(change_id="c", root="t", column_name="x", change_type="rename", scanned=9, affected=1, hard_breaks=0,
                 silent_risks=0, affected_deepest_hop=0, exposed_affected=0)
