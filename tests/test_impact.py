@@ -104,6 +104,16 @@ def test_measures_equal_the_assessment_and_move_no_pair_to_its_change(spark, est
     assert "hashpartitioning(change_id" not in plan and "SortMergeJoin [change_id" in plan
 
 
+def test_affected_rows_alone_move_to_their_change(spark, estate):
+    back = spark.createDataFrame([("fct_revenue", "raw_customers", "model")], "src string, dst string, kind string")
+    looped = replace(estate, edges=estate.edges.unionByName(back))
+    for options in ({}, {"max_hops": 2}, {"budget": 30}):
+        rows, every = assess(looped, affected_only=True, **options), assess(looped, **options)
+        assert sorted(rows.columns) == sorted(every.columns)
+        assert sorted(map(str, rows.select(*every.columns).collect())) == sorted(map(str, classify.affected(every).collect()))
+        assert 0 < rows.count() < every.count()
+
+
 def test_outcomes_need_no_whole_assessment(spark, estate):
     names = spark.createDataFrame([(n,) for n in PATHS], "model string")
     sources = spark.createDataFrame([("public", "raw_customers"), ("public", "raw_orders")], "source_name string, table_name string")
