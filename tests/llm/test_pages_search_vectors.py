@@ -284,3 +284,21 @@ def test_a_page_is_parsed_once(spark, monkeypatch):
     rows.append((4, "//h/4", f"{menu}<p>{' '.join(f'w{k}' for k in range(9))}</p>"))
     assert texts_of(spark, rows) == {**{k: [f"article {k}"] for k in range(4)}, 4: [" ".join(f"w{k}" for k in range(9))]}
     assert parses.value == len(rows)
+
+
+def test_pages_with_an_article_are_looked_up_too(spark):
+    """What the host repeats beside an article is counted, and the article stays whole."""
+    notice = "we and our partners store data on this device to measure visits"
+    rows = [(k, f"//h/{k}", f"<nav>menu own{k}</nav><article><p>{notice}</p></article><div>{notice}</div>") for k in range(3)]
+    rows += [(3, "//other/3", rows[0][2]), (4, "//h/4", f"<div>{notice}</div><p>all of this page's own words stay</p><nav>x {notice}</nav>")]
+    found = {r.page_id: r for r in page_text.extract(pages_of(spark, rows)).collect()}
+    assert {k: (r.text, r.n_repeated, r.n_beside) for k, r in found.items()} == {
+        **{k: (notice, 0, 12) for k in range(3)}, 3: (notice, 0, 0), 4: ("all of this page's own words stay", 12, 12)}
+
+
+def test_pages_stay_where_they_were_parsed(spark):
+    """No exchange holds the texts: what is found of a page comes to them."""
+    rows = [(k, f"//h/{k}", f"<article><p>text {k}</p></article><div>{'a b c d e f g h i'}</div>") for k in range(5)]
+    plan = page_text.extract(pages_of(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "article" in line]
+    assert "Bucketed: true" in plan
