@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultline.functions import text
+from faultline.functions import clauses, text
 from faultline.operators import classify, decision, report, severity, usage, verify
 from faultline.plans import migration
 from faultline.plans.assessment import MEASURED, Estate, assess, measure, summarize
@@ -275,3 +275,32 @@ def test_attempts_past_the_cap_do_not_count(spark):
 def test_copies_of_a_statement_are_one(spark):
     rows = spark.createDataFrame(list(enumerate(WORKLOAD)), "statement_id int, statement string")
     assert sorted(r.copies for r in usage.distinct_statements(rows).collect()) == [1, 1, 1, 1, 2]
+
+
+def test_plain_texts_are_scanned_as_the_fold_scans_them(spark):
+    """The short way for plain selects finds what the fold finds, and other texts still take the fold."""
+    rng = random.Random(11)
+    items = ["*", "a.*", "S . *", "o.b.*", "a", "o.a", "x as y", "2b.c", "count(*) as n", "sum(o.a) * 2", "f(a).*", "* *", "a * b", "f((a))",
+             "distinct a", "on", "(a", "b)", ".*", "é", "'x, *'", "case", "(select * from u)"]
+    names = ["t", "Pub.T", '"Pub"."ÄΣ"', "a . b", '"a b".c', "`q`.x", '"order"', "order", "lateral t", "a,b", "a.", '"x`"', '""', "f(x)", "x.select"]
+    ends = ["", "\n", " as s", " s ", ' as "s"', " s as", " where a = 1", " order", " join b", ";", " as with", "\x02", "$"]
+    texts = {
+        f"{rng.choice(['select', 'SELECT', ' select', 'select distinct', 'with q as (select 1) select'])}{rng.choice([' ', chr(10), ''])}"
+        f"{rng.choice([', ', ',', ' , ']).join(rng.choice(items) for _ in range(rng.randrange(1, 4)))}{rng.choice([' ', chr(10), ''])}from "
+        f"{rng.choice(names)}{rng.choice(ends)}"
+        for _ in range(3000)
+    }
+    rows = spark.createDataFrame([(t,) for t in [None, "", "select", "select " + "a, f(b), " * 50_000 + "c.* from t", "select " + "(" * 1000, *texts]], "sql string")
+    sql = F.col("sql")
+    found = rows.select("sql", clauses.scan(sql).alias("scan"), clauses.fold(sql).alias("fold")).collect()
+    assert [r.sql for r in found if r.scan != r.fold] == []
+    plain = rows.filter(F.rlike(sql, F.lit(clauses._PLAIN))).count()
+    assert 300 < plain < 2500
+
+
+def test_comments_go_alike_with_and_without_marks(spark):
+    texts = ["a", "a -- b\nc", "a /* -- */ b", "'--' x", "'a' 'b'", "/* ' */ a '/*' -- '", "-- /*\n*/", None, "a-b/c"]
+    both = r"(?s)('[^']*'|/\*.*?\*/)|--[^\n]*", r"(?s)('[^']*')|/\*.*?\*/"
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plainly = F.regexp_replace(F.regexp_replace("t", both[0], "$1"), both[1], "$1 ")
+    assert all(a == b for a, b in rows.select(text.without_comments(F.col("t")), plainly).collect())
