@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from faultline.operators import graph, siblings
+from faultline.plans import assessment
 from faultline.sources import files
 
 
@@ -272,3 +273,36 @@ def test_exports_are_packed_and_read_back(spark, tmp_path):
     files.export_assessment(rows.limit(1), rows, f"{tmp_path}/export")
     assert sum(f.stat().st_size for f in (tmp_path / "export" / "assets").glob("part-*")) < 3000 * 60
     assert spark.read.schema(rows.schema).json(f"{tmp_path}/export/assets").exceptAll(rows).count() == 0
+
+
+def test_names_that_share_a_number_get_another_salt(spark, monkeypatch):
+    """Numbers stand for names only where no two share one; a search on them finds what names find."""
+    names = spark.createDataFrame([(["a", "b", None],), (["b", "cc"],)], "names array<string>")
+    assert graph.salt_of([F.col("names")], [names]) == 0
+    number = graph.number
+    monkeypatch.setattr(graph, "number", lambda name, salt: F.length(name).cast("long") if salt < 2 else number(name, salt))
+    assert graph.salt_of([F.col("names")], [names]) == 2
+    same = names.select(F.transform("names", lambda n: F.when(n.isNotNull(), "a")).alias("names"))
+    assert graph.salt_of([F.col("names")], [same]) == 0 and graph.salt_of([F.col("names")], [names.limit(0)]) == 0
+    assert spark.range(1).select(number(F.lit(None).cast("string"), 0)).first()[0] is None
+
+
+def test_a_reach_on_numbers_is_one_on_names(spark, monkeypatch):
+    changes = spark.createDataFrame([("c", "a", "x"), ("d", "b", "x"), ("n", None, "x")], "change_id string, node string, column_name string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "board"), ("b", "ee"), ("c", "a"), (None, "z")], "src string, dst string")
+    columns = spark.createDataFrame([("a", "x", "b", "y"), ("b", "y", "q", "x"), ("b", "x", "c", "x")], "src string, src_col string, dst string, dst_col string")
+    entities = spark.createDataFrame([("board", ("DASHBOARD",)), ("b", ("DATASET",))], "node string, entity struct<type:string>")
+    estate = assessment.Estate(changes, edges, columns, entities, None, None)
+    number = graph.number
+    for shared in (False, True):
+        if shared:
+            monkeypatch.setattr(graph, "number", lambda name, salt: F.length(name).cast("long") if salt < 1 else number(name, salt))
+        for hops in (None, 2):
+            found = assessment.reach(estate, hops)
+            plain = graph.impact_reach(changes, edges, columns, hops)
+            rows = found.nodes
+            assert sorted(map(str, rows.collect())) == sorted(map(str, plain.select(*rows.columns).collect())) and rows.count() > 6
+            sets = graph.dashboard_sets(found.boards, edges, hops)
+            exposed = graph.dashboard_exposure(plain, changes, sets, hops)
+            assert sorted(map(tuple, found.exposed.collect())) == sorted(map(tuple, exposed.select("change_id", "node").collect())) != []
+            assert dict(found.pairs.dtypes)["place"] == "bigint" and found.salt == int(shared)
