@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators import graph, siblings
 from faultline.plans import assessment
-from faultline.sources import files
+from faultline.sources import files, schemas
 
 
 def brute(seeds, edges, hops):
@@ -306,3 +306,17 @@ def test_a_reach_on_numbers_is_one_on_names(spark, monkeypatch):
             exposed = graph.dashboard_exposure(plain, changes, sets, hops)
             assert sorted(map(tuple, found.exposed.collect())) == sorted(map(tuple, exposed.select("change_id", "node").collect())) != []
             assert dict(found.pairs.dtypes)["place"] == "bigint" and found.salt == int(shared)
+
+
+def test_siblings_move_no_more_of_an_entity_than_is_read(spark):
+    def entity(urn, kind="DATASET", owner="o"):
+        return (urn, kind, "n", ([("k", "v")],), ([((owner,), "BUSINESS_OWNER")],))
+
+    physical, logical = "urn:li:dataset:(urn:li:dataPlatform:postgres,{},PROD)", "urn:li:dataset:(urn:li:dataPlatform:dbt,{},PROD)"
+    hits = [("c", "a", 2, entity(physical.format("b"))), ("c", "a", 1, entity(physical.format("z"), owner=None)), ("c", "a", 1, entity(physical.format("y"))),
+            ("c", "a", 3, entity(logical.format("a"))), ("d", "a", 1, entity(logical.format("q"))), ("d", "b", 1, entity("x", "DASHBOARD")), ("d", "e", 1, None)]
+    rows = spark.createDataFrame(hits, f"change_id string, node string, degree int, entity {schemas.ENTITY}")
+    urns = ["change_id", "node", "hop", "physical.urn", "logical.urn"]
+    whole, narrow = siblings.merge_siblings(rows).select(*urns), siblings.merge_siblings(rows, first_fields=1).select(*urns)
+    assert sorted(map(str, narrow.collect())) == sorted(map(str, whole.collect())) and narrow.count() == 2
+    assert siblings.merge_siblings(rows, first_fields=1).schema["physical"].dataType.names == ["urn"]
