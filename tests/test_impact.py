@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from faultline.functions import clauses, text
-from faultline.operators import classify, decision, report, severity, usage, verify
+from faultline.operators import classify, decision, patch, report, severity, usage, verify
 from faultline.plans import migration
 from faultline.plans.assessment import MEASURED, Estate, assess, measure, summarize
 
@@ -304,3 +304,10 @@ def test_comments_go_alike_with_and_without_marks(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     plainly = F.regexp_replace(F.regexp_replace("t", both[0], "$1"), both[1], "$1 ")
     assert all(a == b for a, b in rows.select(text.without_comments(F.col("t")), plainly).collect())
+
+
+def test_severity_and_origins_are_measured_where_pairs_lie(spark, estate):
+    columns = ("change_id", "node", "file_path", "hop", "compile_status", "break_mode", "severity_score")
+    rows, every = measure(estate, columns), assess(estate)
+    assert sorted(map(str, rows.collect())) == sorted(map(str, every.select(*columns).collect()))
+    assert sorted(patch.origin_models(rows).collect()) == sorted(patch.origin_models(every).collect()) != []
